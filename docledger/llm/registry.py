@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docledger.llm import simhash
+from docledger.llm import mixing, phrases, sharding, simhash
 from docledger.plans.storage import table
 
 
@@ -10,9 +10,21 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op9_phrases(spark, sf_dir):
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark, sf_dir):
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op5_mixing, op9_phrases, op10_sharding)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_mixing": mixing.ORACLE, "op10_sharding": sharding.ORACLE}
