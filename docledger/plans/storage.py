@@ -7,6 +7,7 @@ recomputation of the whole lineage. Nothing is kept on executor-local disks.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to shared storage and return a frame that reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docledger/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -37,5 +38,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases, which it does when plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
