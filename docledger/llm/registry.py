@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docledger.llm import mixing, phrases, sharding, simhash
+from docledger.llm import mixing, phrases, quality, sharding, simhash
 from docledger.plans.storage import table
 
 
@@ -14,6 +14,11 @@ def op5_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.verdicts(table(spark, sf_dir, "documents"), good)
+
+
 def op9_phrases(spark, sf_dir):
     return phrases.digest(table(spark, sf_dir, "documents"))
 
@@ -23,7 +28,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op5_mixing, op9_phrases, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op5_mixing, op7_quality, op9_phrases, op10_sharding)}
 
 
 def oracle_sql() -> dict:
