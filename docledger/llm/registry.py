@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docledger.llm import mixing, phrases, quality, sharding, simhash
+from pyspark.sql import functions as F
+
+from docledger.llm import decontaminate, mixing, phrases, quality, sharding, simhash, toxicity
 from docledger.plans.storage import table
 
 
@@ -10,6 +12,25 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), decontaminate.item_rows(table(spark, sf_dir, "benchmark")))
+
+
+#: The labelled categories in the order of the chain.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def category_labels(labels):
+    """``labels(doc_id, quality, toxic)`` as one 0/1 column for each category."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.train(docs, category_labels(table(spark, sf_dir, "labels")), CATEGORIES)
+    return toxicity.scores(docs, models, CATEGORIES)
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -28,7 +49,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op5_mixing, op7_quality, op9_phrases, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_toxicity, op5_mixing, op7_quality, op9_phrases, op10_sharding)}
 
 
 def oracle_sql() -> dict:
