@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docledger.llm import decontaminate, mixing, phrases, quality, sharding, simhash, toxicity
+from docledger.llm import decontaminate, licenses, mixing, phrases, pii, quality, sharding, simhash, toxicity, warc
 from docledger.plans.storage import table
 
 
@@ -31,15 +31,27 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.scores(docs, models, CATEGORIES)
 
 
+def op4_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.digest_rows(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.verdicts(table(spark, sf_dir, "documents"), good)
 
 
+def op8_licenses(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_phrases(spark, sf_dir):
     return phrases.digest(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,8 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_toxicity, op5_mixing, op7_quality, op9_phrases, op10_sharding)}
+    ops = (op1_simhash, op2_decontamination, op3_toxicity, op4_pii, op5_mixing, op6_warc, op7_quality, op8_licenses, op9_phrases, op10_sharding)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
