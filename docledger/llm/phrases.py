@@ -11,8 +11,8 @@ earlier start) is removed; windows are judged on the input.
    kept as a bitmap of a size that follows the count up to a stated bound. Bitmaps and hashes only
    let too much through, never too little.
 3. Passages: runs of recurring windows with one seed, with every place they start at.
-   A passage's text is shipped once per batch, and equal passages collapse in a partial
-   aggregate, so a passage in a third of all documents is one row.
+   Equal passages collapse in a partial aggregate to their first place, so a passage in a
+   third of all documents is one row; only first places ship their text.
 4. Passages are dealt to shards by seed. Each shard compiles an Aho-Corasick automaton
    of its windows (one symbol per word) and streams its passages through it, which
    gives the true first place of every window and confirms repeats on words, not hashes.
@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm._text import gram_hashes, groups_of, word_hashes
-from docledger.plans.storage import discard, materialize
+from docledger.llm._text import gram_hashes, groups_of, mix, word_hashes
+from docledger.plans.storage import discard, materialize, release
 
 LAST = (1 << 63) - 1
+#: Mask of the bits that hold a seed's place in its group of texts.
+PLACE = (1 << 28) - 1
 #: A bitmap has 16 to 32 bits for each entry until this many bits (128 MB).
 MAX_BITS_LOG2 = 30
 #: Words of distinct passages that one automaton should hold.
@@ -67,18 +69,20 @@ class Windows:
         self.blob = b"\n".join(t or b"" for t in texts)
         first = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])[:-1]
         self.starts, self.ends, self.h = word_hashes(np.frombuffer(self.blob, dtype=np.uint8))
-        self.own = np.searchsorted(first, self.starts, "right") - 1
-        self.word0 = np.searchsorted(self.own, np.arange(len(texts)), "left")
+        self.word0 = np.searchsorted(self.starts, first)
+        self.own = np.repeat(np.arange(len(texts)), np.diff(np.append(self.word0, len(self.starts))))
         n = max(0, len(self.h) - width + 1)
         self.valid = self.own[:n] == self.own[width - 1 :] if n else np.zeros(0, dtype=bool)
         g, span = gram_hashes(self.h, gram), width - gram + 1
-        at, size = np.arange(len(g)), 1
+        if len(g) > PLACE:
+            raise ValueError(f"a text of more than {PLACE} words")
+        # hash above, place below: the minimum is the leftmost of the smallest hashes
+        low, size = (g & ~np.uint64(PLACE)) | np.arange(len(g), dtype=np.uint64), 1
         while size < span and n:
             step = min(size, span - size)
-            left, right = at[: len(at) - step], at[step:]
-            at, size = np.where(g[left] <= g[right], left, right), size + step
-        self.place = at[:n]
-        self.seed = g[self.place] if n else np.zeros(0, dtype=np.uint64)
+            low, size = np.minimum(low[: len(low) - step], low[step:]), size + step
+        self.place = (low[:n] & np.uint64(PLACE)).astype(np.int64)
+        self.seed = g[self.place]
 
     def runs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First window and length of each run of chosen windows with one seed place in one text."""
@@ -126,117 +130,139 @@ def recurring(docs: DataFrame, width: int, gram: int, max_log2: int) -> tuple[np
         m = w.valid & member(*seen.value, w.seed)
         return gram_hashes(w.h, width)[m]
 
+    release(docs.sparkSession)
     keys = materialize(_counts(docs, candidates, width, gram), "phrase-windows")
     out = bitmap(keys, max_log2)
     discard(keys)
     seen.unpersist()
+    release(docs.sparkSession)
     return out
 
 
-def passages(docs: DataFrame, width: int, gram: int, max_log2: int) -> DataFrame:
-    """``(seed, seg, doc, start, n, text)``: every place of every recurring passage.
+def _places(docs: DataFrame, known, width: int, gram: int, chosen=None) -> DataFrame:
+    """``(seed, seg, doc, start, n)`` of every place of every recurring passage; n counts windows.
 
-    ``n`` counts windows; ``text`` is null where the same batch has shipped it already.
+    With ``chosen``, a bitmap over ``place_key``, only those places, and with their text.
     """
     import xxhash
 
-    known = docs.sparkSession.sparkContext.broadcast(recurring(docs, width, gram, max_log2))
-
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            shipped: set = set()
-            rows: list = []
+            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for lo, hi in groups_of(texts):
                 w = Windows(texts[lo:hi], width, gram)
                 at, n = w.runs(w.valid & member(*known.value, gram_hashes(w.h, width)))
-                s, e, own = w.starts[at].tolist(), w.ends[at + n + width - 2].tolist(), w.own[at]
-                for i, a, z, seed, c, start in zip(own.tolist(), s, e, w.seed[at].view(np.int64).tolist(), n.tolist(), (at - w.word0[own]).tolist(), strict=True):
-                    text = b" ".join(w.blob[a:z].split())
-                    seg = xxhash.xxh64_intdigest(text)
-                    new = (seed, seg) not in shipped
-                    shipped.add((seed, seg))
-                    rows.append((seed, seg - (1 << 64) if seg >> 63 else seg, ids[lo + i], start, c, text if new else None))
-                    if len(rows) >= 50_000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
-
-    return docs.mapInArrow(run, "seed bigint, seg bigint, doc bigint, start bigint, n bigint, text binary")
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], names=["seed", "seg", "doc", "start", "n", "text"])
-
-
-def symbols(texts: list[bytes]) -> list[str]:
-    """Each text as a string with one character per word, equal for equal words."""
-    known: dict[bytes, str] = {}
-    out = []
-    for t in texts:
-        got = []
-        for word in t.split():
-            c = known.get(word)
-            if c is None:
-                n = len(known) + 1
-                c = known[word] = chr(n if n < 0xD800 else n + 0x800)
-            got.append(c)
-        out.append("".join(got))
+                own, start, seed = w.own[at], at - w.word0[w.own[at]], w.seed[at].view(np.int64)
+                blob, s, e = w.blob, w.starts[at].tolist(), w.ends[at + n + width - 2].tolist()
+                body = [b" ".join(blob[x:y].split()) for x, y in zip(s, e, strict=True)]
+                seg = np.array([xxhash.xxh64_intdigest(t) for t in body], dtype=np.uint64).view(np.int64)
+                cols = [seed, seg, ids[lo + own], start, n]
+                if chosen is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=NAMES)
+                else:
+                    m = np.flatnonzero(member(*chosen.value, place_key(*cols[:4])))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[m]) for c in cols), pa.array([body[i] for i in m], pa.binary())], names=[*NAMES, "text"])
+
+    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES) + (", text binary" if chosen else ""))
+
+
+NAMES = ["seed", "seg", "doc", "start", "n"]
+
+
+def place_key(seed: np.ndarray, seg: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(seed), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for c in (seed, seg, doc, start):
+            out = mix(out * np.uint64(3) + c.astype(np.int64).view(np.uint64))
     return out
 
 
+def _place_keys(firsts: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place_key(*(c.to_numpy() for c in b.columns)).view(np.int64))], names=["key"])
+
+    return firsts.select("seed", "seg", "doc", "start").mapInArrow(run, "key bigint")
+
+
+class Symbols(dict):
+    """A character for each word, given out as words come; surrogates are left out."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        c = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return c
+
+
 def confirm_shard(width: int):
-    """For one shard: the window ranges of each passage's first place that recur earlier still."""
+    """For one shard: the window ranges of each passage's first place that recur earlier still.
+
+    Passages are added from the last place to the first, so each window ends up with the
+    first place it has; streaming the passages then finds every window that is elsewhere first.
+    """
 
     def run(key, table):
         import ahocorasick
 
         table = table.sort_by([("doc", "ascending"), ("start", "ascending")])
-        docs, starts, texts = table["doc"].to_pylist(), table["start"].to_pylist(), symbols(table["text"].to_pylist())
+        names = np.stack([table["seed"].to_numpy(), table["seg"].to_numpy()])
+        order = np.lexsort(names)  # stable: a bitmap may let later places of a passage through
+        again = order[1:][(names[:, order[1:]] == names[:, order[:-1]]).all(axis=0)]
+        keep = np.ones(len(order), dtype=bool)
+        keep[again] = False
+        table = table.filter(pa.array(keep))
+        symbol = Symbols()
+        texts = ["".join([symbol[w] for w in t.split()]) for t in table["text"].to_pylist()]
         auto = ahocorasick.Automaton()
-        for s in texts:
-            for i in range(len(s) - width + 1):
-                if s[i : i + width] not in auto:
-                    auto.add_word(s[i : i + width], len(auto))
+        add, own = auto.add_word, width - 1
+        for k in range(len(texts) - 1, -1, -1):
+            s, base = texts[k], k * width
+            for i in range(len(s) - own):
+                add(s[i : i + width], base + i)
         auto.make_automaton()
-        first: list = [None] * len(auto)
-        for d, st, s in zip(docs, starts, texts, strict=True):
-            for end, k in auto.iter(s):
-                place = (d, st + end - width + 1)
-                if first[k] is None or place < first[k]:
-                    first[k] = place
-        cuts = []
-        for d, st, s in zip(docs, starts, texts, strict=True):
-            ranges, last = [], -2
-            for i in sorted(end - width + 1 for end, k in auto.iter(s) if first[k] != (d, st + end - width + 1)):
-                if i == last + 1:
-                    ranges[-1]["z"] = st + i + width
-                else:
-                    ranges.append({"a": st + i, "z": st + i + width})
-                last = i
-            cuts.append(ranges)
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-        return pa.table({"seed": table["seed"], "seg": table["seg"], "rep_doc": table["doc"], "rep_start": table["start"], "cuts": pa.array(cuts, kind)})
+        row, at = [], []
+        for k, s in enumerate(texts):
+            base = k * width - own
+            for end, place in auto.iter(s):
+                if place != base + end:
+                    row.append(k)
+                    at.append(end - own)
+        row, at = np.array(row, dtype=np.int64), np.array(at, dtype=np.int64)
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(at) != 1)))) if len(row) else row
+        last = np.append(new[1:], len(row)) - 1 if len(row) else row
+        start = table["start"].to_numpy()[row[new]]
+        cut = pa.StructArray.from_arrays([pa.array(start + at[new]), pa.array(start + at[last] + width)], names=["a", "z"])
+        offsets = np.searchsorted(row[new], np.arange(len(texts) + 1), "left").astype(np.int32)
+        cuts = pa.ListArray.from_arrays(pa.array(offsets), cut)
+        return pa.table({"seed": table["seed"], "seg": table["seg"], "rep_doc": table["doc"], "rep_start": table["start"], "cuts": cuts})
 
     return run
 
 
 def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 8, max_log2: int = MAX_BITS_LOG2, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(doc, ranges array<struct<a, z>>)``: word ranges to remove, sorted, for documents that have any."""
-    at = materialize(passages(docs, width, gram, max_log2), "phrase-places")
-    whole = at.groupBy("seed", "seg").agg(F.min(F.struct("doc", "start")).alias("rep"), F.max("text").alias("text"), F.max("n").alias("n"))
-    whole = materialize(whole.select("seed", "seg", "rep.doc", "rep.start", "n", "text"), "phrase-passages")
-    words = whole.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
+    sc = docs.sparkSession.sparkContext
+    known = sc.broadcast(recurring(docs, width, gram, max_log2))
+    at = materialize(_places(docs, known, width, gram), "phrase-places")
+    first = at.groupBy("seed", "seg").agg(F.min(F.struct("doc", "start")).alias("rep"), F.max("n").alias("n"))
+    first = materialize(first.select("seed", "seg", "rep.doc", "rep.start", "n"), "phrase-firsts")
+    release(docs.sparkSession)
+    words = first.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    parted = whole.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
+    chosen = sc.broadcast(bitmap(_place_keys(first), max_log2))
+    parted = _places(docs, known, width, gram, chosen).withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
     cut = parted.groupBy("shard").applyInArrow(confirm_shard(width), "seed bigint, seg bigint, rep_doc bigint, rep_start bigint, cuts array<struct<a:bigint,z:bigint>>")
     cut = materialize(cut, "phrase-cuts")
+    discard(first)
+    release(docs.sparkSession)
     at_rep = (F.col("doc") == F.col("rep_doc")) & (F.col("start") == F.col("rep_start"))
     whole_range = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("z")))
-    marks = at.select("seed", "seg", "doc", "start", "n").join(cut, ["seed", "seg"]).select("doc", F.explode(F.when(at_rep, F.col("cuts")).otherwise(whole_range)).alias("r"))
-    return marks.groupBy("doc").agg(F.sort_array(F.collect_set("r")).alias("ranges"))
+    marks = at.join(cut, ["seed", "seg"]).select("doc", F.explode(F.when(at_rep, F.col("cuts")).otherwise(whole_range)).alias("r"))
+    marks = materialize(marks.groupBy("doc").agg(F.sort_array(F.collect_set("r")).alias("ranges")), "phrase-ranges")
+    discard(at)
+    discard(cut)
+    release(docs.sparkSession)
+    return marks
 
 
 def kept_words(text: bytes | None, ranges) -> tuple[int, list[bytes]]:
@@ -250,11 +276,10 @@ def kept_words(text: bytes | None, ranges) -> tuple[int, list[bytes]]:
     return len(words), list(compress(words, keep.tolist()))
 
 
-def deduplicated(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", max_log2: int = MAX_BITS_LOG2, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_text binary, ranges)`` for every row."""
-    rows = _input(docs, id_col, text_col)
-    marks = removed_ranges(rows, width, gram, max_log2, shard_words)
-    joined = rows.join(marks, "doc", "left")
+def _finished(docs: DataFrame, with_text: bool, options: dict) -> DataFrame:
+    rows = _input(docs, options.pop("id_col", "doc_id"), options.pop("text_col", "text"))
+    joined = rows.join(removed_ranges(rows, **options), "doc", "left")
+    last, kind = ("kept_text", "binary") if with_text else ("kept_sha256", "string")
 
     def run(batches):
         for b in batches:
@@ -263,17 +288,23 @@ def deduplicated(docs: DataFrame, width: int = 20, gram: int = 8, id_col: str =
                 n, words = kept_words(text.as_py(), ranges.as_py())
                 total.append(n)
                 removed.append(n - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), b.column(2)], names=["doc", "n_words", "n_removed", "kept_text", "ranges"])
+                out = b" ".join(words)
+                kept.append(out if with_text else hashlib.sha256(out).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string()), b.column(2)], names=["doc", "n_words", "n_removed", last, "ranges"])
+
+    out = joined.select("doc", "text", "ranges").mapInArrow(run, f"doc bigint, n_words bigint, n_removed bigint, {last} {kind}, ranges array<struct<a:bigint,z:bigint>>")
+    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", last, "ranges")
+
 
-    out = joined.select("doc", "text", "ranges").mapInArrow(run, "doc bigint, n_words bigint, n_removed bigint, kept_text binary, ranges array<struct<a:bigint,z:bigint>>")
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text", "ranges")
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_text, ranges)`` for every row; ranges of words removed."""
+    out = _finished(docs, True, options)
+    return out.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)``."""
-    out = deduplicated(docs, **options)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return _finished(docs, False, options).drop("ranges")
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = 20) -> dict[int, tuple[int, int, str]]:
