@@ -4,6 +4,8 @@ A window is ``width`` consecutive words of one document. Every word covered by a
 whose word sequence also starts earlier (smaller doc_id, or the same document and an
 earlier start) is removed; windows are judged on the input.
 
+0. A row whose whole text occurs at a smaller doc_id needs no search: all its windows
+   recur. Such copies are set aside, so a text in a third of all rows is searched once.
 1. Seeds. The smallest hash among the short grams inside a window is a function of the
    window's words, so equal windows share their seed. Seeds at one place in the corpus only
    cannot belong to a recurring window. Counts are summed per batch before the shuffle.
@@ -33,35 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm._bitmap import MAX_BITS_LOG2, bitmap, member
 from docledger.llm._text import gram_hashes, groups_of, mix, word_hashes
 from docledger.plans.storage import discard, materialize, release
 
 LAST = (1 << 63) - 1
 #: Mask of the bits that hold a seed's place in its group of texts.
 PLACE = (1 << 28) - 1
-#: A bitmap has 16 to 32 bits for each entry until this many bits (128 MB).
-MAX_BITS_LOG2 = 30
+#: Groups of copies that may be broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 #: Words of distinct passages that one automaton should hold.
 SHARD_WORDS = 50_000
 
 
-def bitmap(keys: DataFrame, max_log2: int = MAX_BITS_LOG2) -> tuple[np.ndarray, int]:
-    """(bytes, log2 of bits) with the bit of every ``key`` set. Never larger than the bound."""
-    n = keys.count()
-    k = min(max_log2, max(16, (16 * max(n, 1) - 1).bit_length()))
-    place = F.shiftrightunsigned("key", 64 - k)
-    words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - k}) & 63 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (k - 6), dtype=np.int64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return out.view(np.uint8), k
-
-
-def member(bits: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - k)
-    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 class Windows:
     """Word windows of a few texts: hashes, seeds and the places of the seeds."""
 
@@ -94,10 +80,6 @@ class Windows:
         return i[at], np.diff(np.append(at, len(i)))
 
 
-def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-
-
 def _counts(docs: DataFrame, pick, width: int, gram: int) -> DataFrame:
     """Recurring keys: ``pick(Windows)`` gives the hashes to count; summed per batch, then by key."""
 
@@ -194,6 +176,18 @@ class Symbols(dict):
         return c
 
 
+def repeated_windows(texts: list[bytes], width: int) -> list[tuple[int, list[int]]]:
+    """(text, starts) of the windows whose hash two places in these texts share; only they need a key."""
+    w = Windows(texts, width, min(width, 8))
+    h = gram_hashes(w.h, width)[w.valid]
+    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(w.valid)[n[inverse] > 1]
+    own = w.own[at]
+    cut = np.flatnonzero(np.diff(own)) + 1
+    starts = np.split(at - w.word0[own], cut)
+    return [(int(k), x.tolist()) for k, x in zip(own[np.concatenate(([0], cut))] if len(own) else own, starts, strict=False)]
+
+
 def confirm_shard(width: int):
     """For one shard: the window ranges of each passage's first place that recur earlier still.
 
@@ -212,18 +206,19 @@ def confirm_shard(width: int):
         keep[again] = False
         table = table.filter(pa.array(keep))
         symbol = Symbols()
-        texts = ["".join([symbol[w] for w in t.split()]) for t in table["text"].to_pylist()]
+        raw = table["text"].to_pylist()
+        texts = ["".join([symbol[w] for w in t.split()]) for t in raw]
         auto = ahocorasick.Automaton()
         add, own = auto.add_word, width - 1
-        for k in range(len(texts) - 1, -1, -1):
+        for k, at in reversed(repeated_windows(raw, width)):
             s, base = texts[k], k * width
-            for i in range(len(s) - own):
+            for i in at:
                 add(s[i : i + width], base + i)
         auto.make_automaton()
         row, at = [], []
         for k, s in enumerate(texts):
             base = k * width - own
-            for end, place in auto.iter(s):
+            for end, place in auto.iter(s) if len(auto) else ():
                 if place != base + end:
                     row.append(k)
                     at.append(end - own)
@@ -265,9 +260,11 @@ def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 8, max_log2: in
     return marks
 
 
-def kept_words(text: bytes | None, ranges) -> tuple[int, list[bytes]]:
-    """(number of words, the words outside the ranges)."""
-    words = (text or b"").split()
+def kept_words(text: bytes, width: int, copy: bool, ranges) -> tuple[int, list[bytes]]:
+    """(number of words, the words that stay)."""
+    words = text.split()
+    if copy:
+        return len(words), words if len(words) < width else []
     if not ranges:
         return len(words), words
     keep = np.ones(len(words), dtype=bool)
@@ -276,23 +273,39 @@ def kept_words(text: bytes | None, ranges) -> tuple[int, list[bytes]]:
     return len(words), list(compress(words, keep.tolist()))
 
 
+def _marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``copy``: the same text stands at a smaller doc; the other rows)."""
+    keyed = rows.withColumn("digest", F.md5("text"))
+    groups = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.select(F.col("digest").alias("group"), "first"), "phrase-copies")
+    few = groups.count() <= BROADCAST_GROUPS
+    joined = keyed.join(F.broadcast(groups) if few else groups, F.col("digest") == F.col("group"), "left")
+    marked = joined.select("doc", "text", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy"))
+    single = marked.where("not copy").select("doc", "text")
+    return marked, single if few else materialize(single, "phrase-single")
+
+
 def _finished(docs: DataFrame, with_text: bool, options: dict) -> DataFrame:
-    rows = _input(docs, options.pop("id_col", "doc_id"), options.pop("text_col", "text"))
-    joined = rows.join(removed_ranges(rows, **options), "doc", "left")
+    rows = docs.select(F.coalesce(F.col(options.pop("id_col", "doc_id")).cast("bigint"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(options.pop("text_col", "text")).cast("binary"), F.lit(b"")).alias("text"))
+    width = options.get("width", 20)
+    marked, single = _marked(rows)
+    joined = marked.join(removed_ranges(single, **options), "doc", "left")
     last, kind = ("kept_text", "binary") if with_text else ("kept_sha256", "string")
+    struct = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
 
     def run(batches):
         for b in batches:
-            total, removed, kept = [], [], []
-            for text, ranges in zip(b.column(1), b.column(2), strict=True):
-                n, words = kept_words(text.as_py(), ranges.as_py())
+            total, removed, kept, cuts = [], [], [], []
+            for text, copy, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                n, words = kept_words(text, width, copy, ranges)
                 total.append(n)
                 removed.append(n - len(words))
                 out = b" ".join(words)
                 kept.append(out if with_text else hashlib.sha256(out).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string()), b.column(2)], names=["doc", "n_words", "n_removed", last, "ranges"])
+                cuts.append(([{"a": 0, "z": n}] if n > len(words) else []) if copy else ranges or [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary() if with_text else pa.string()), pa.array(cuts, struct)], names=["doc", "n_words", "n_removed", last, "ranges"])
 
-    out = joined.select("doc", "text", "ranges").mapInArrow(run, f"doc bigint, n_words bigint, n_removed bigint, {last} {kind}, ranges array<struct<a:bigint,z:bigint>>")
+    out = joined.select("doc", "text", "copy", "ranges").mapInArrow(run, f"doc bigint, n_words bigint, n_removed bigint, {last} {kind}, ranges array<struct<a:bigint,z:bigint>>")
     return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", last, "ranges")
 
 
