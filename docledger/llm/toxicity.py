@@ -20,16 +20,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm._text import ALNUM_LOWER
 
 #: Labelled documents used for fitting, at most.
-SAMPLE = 12_000
+SAMPLE = 6_000
 PREFIXES = (4, 5, 6)
 FOLDS, FEATURES, STEPS, RIDGE = 4, 512, 250, 1e-5
 THRESHOLD = 0.5
+#: A feature of fewer sampled documents is not used.
+LEAST = 4
 CACHE = 400_000
 
 
@@ -67,13 +70,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], sam
 
 
 class Data:
-    """A sparse matrix by rows."""
+    """A sparse matrix: row i has the features f[offsets[i]:offsets[i + 1]]; rare ones are left out."""
 
-    def __init__(self, fs: list[np.ndarray], ns: list[np.ndarray]):
-        self.rows = np.repeat(np.arange(len(fs)), [len(x) for x in fs])
-        self.names, self.cols = np.unique(np.concatenate([*fs, np.zeros(0, np.int64)]), return_inverse=True)
-        self.vals = np.concatenate([*ns, np.zeros(0, np.int64)]).astype(np.float64)
-        self.n = len(fs)
+    def __init__(self, offsets: np.ndarray, f: np.ndarray, n: np.ndarray, least: int = LEAST):
+        self.n = len(offsets) - 1
+        names, have = np.unique(f, return_counts=True)
+        self.names = names[have >= least]
+        del names, have
+        cols = np.searchsorted(self.names, f).astype(np.int32)
+        keep = np.flatnonzero(self.names[np.minimum(cols, max(0, len(self.names) - 1))] == f) if len(self.names) else np.zeros(0, np.int64)
+        self.cols, self.vals = cols[keep], n[keep].astype(np.float32)
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(offsets))[keep]
 
 
 def fit(data: Data, extra: np.ndarray, y: np.ndarray, use: np.ndarray):
@@ -87,7 +94,7 @@ def fit(data: Data, extra: np.ndarray, y: np.ndarray, use: np.ndarray):
     size = len(data.names)
     have, hit = np.bincount(cols, minlength=size), np.bincount(cols, weights=y[rows], minlength=size)
     spread = np.sqrt(have * base * (1 - base) + 1e-9)
-    gain = np.where(have >= 4, np.abs(hit - have * base) / spread, 0.0)
+    gain = np.where(have >= LEAST, np.abs(hit - have * base) / spread, 0.0)
     best = np.sort(np.lexsort((data.names, -gain))[: min(FEATURES, int((gain > 0).sum()))])
     to = np.full(size, -1)
     to[best] = np.arange(len(best))
@@ -120,27 +127,30 @@ def predict(model, data: Data, extra: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z + extra @ we + b, -40, 40)))
 
 
-def fit_chain(fs, ns, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS):
+def fit_chain(data: Data, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS):
     """One model for each column of y; earlier columns enter later models out of fold."""
-    data, models, extra = Data(fs, ns), [], np.zeros((len(fs), 0))
+    models, extra = [], np.zeros((data.n, 0))
     for k in range(y.shape[1]):
-        held = np.zeros(len(fs))
+        held = np.zeros(data.n)
         for f in range(folds):
             part = fold == f
             held[part] = predict(fit(data, extra, y[:, k], ~part), data, extra)[part]
-        models.append(fit(data, extra, y[:, k], np.ones(len(fs), dtype=bool)))
+        models.append(fit(data, extra, y[:, k], np.ones(data.n, dtype=bool)))
         extra = np.column_stack((extra, held))
     return models
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
     """The chain's models, fitted on the driver over the bounded sample."""
-    got = training_rows(docs, labels, categories, sample, id_col, text_col).toArrow().sort_by("doc_id")
-    ids = got["doc_id"].to_numpy()
-    fs = [np.array(x, dtype=np.int64) for x in got["f"].to_pylist()]
-    ns = [np.array(x, dtype=np.int64) for x in got["n"].to_pylist()]
-    y = np.array(got["y"].to_pylist() or np.zeros((0, len(categories))), dtype=np.float64)
-    return fit_chain(fs, ns, y, (ids * 2654435761 >> 8) % FOLDS)
+    got = training_rows(docs, labels, categories, sample, id_col, text_col).toArrow().combine_chunks()
+    # by doc_id, repeated rows by their features: the order of partitions must not matter
+    size = pa.compute.list_value_length(got["f"])
+    got = got.append_column("size", size).sort_by([("doc_id", "ascending"), ("size", "ascending")]).combine_chunks()
+    ids, y = got["doc_id"].to_numpy(), np.array(got["y"].to_pylist(), dtype=np.float64).reshape(-1, len(categories))
+    offsets = np.concatenate(([0], np.cumsum(got["size"].to_numpy(), dtype=np.int64)))
+    f, n = (np.concatenate([c.flatten().to_numpy() for c in got[x].chunks] or [np.zeros(0, np.int64)]) for x in ("f", "n"))
+    del got
+    return fit_chain(Data(offsets, f, n), y, (ids * 2654435761 >> 8) % FOLDS)
 
 
 class Scorer:
