@@ -126,8 +126,8 @@ def corpus_index(objects: DataFrame, containers: DataFrame) -> DataFrame:
 
 def route(requests: DataFrame, index: DataFrame) -> DataFrame:
     """``(path, status, id)``: object and document paths of known ids are found, others are not."""
-    m = F.regexp_extract("path", "^/vsd/([od])/([0-9a-fA-F]{64})$", 1)
-    rid = F.lower(F.regexp_extract("path", "^/vsd/([od])/([0-9a-fA-F]{64})$", 2))
+    m = F.regexp_extract("path", "^/store/([od])/([0-9a-fA-F]{64})$", 1)
+    rid = F.lower(F.regexp_extract("path", "^/store/([od])/([0-9a-fA-F]{64})$", 2))
     asked = requests.select("path", F.when(m == "o", "object").when(m == "d", "container").alias("k"), rid.alias("asked"))
     hit = asked.join(index, (F.col("k") == F.col("kind")) & (F.col("asked") == F.col("id")), "left")
     return hit.select("path", F.when(F.col("id").isNull(), 404).otherwise(200).alias("status"), "id")

@@ -230,13 +230,13 @@ def snk13(spark, sf_dir):
 
 @register(
     "snk14_route",
-    """WITH d AS (SELECT sha256(text) AS id FROM documents), r AS (SELECT '/vsd/d/' || upper(id) AS path, id AS want FROM d UNION ALL SELECT '/vsd/o/' || substr(id, 2), NULL FROM d UNION ALL SELECT '/vsd/x/' || id, NULL FROM d)
+    """WITH d AS (SELECT sha256(text) AS id FROM documents), r AS (SELECT '/store/d/' || upper(id) AS path, id AS want FROM d UNION ALL SELECT '/store/o/' || substr(id, 2), NULL FROM d UNION ALL SELECT '/store/x/' || id, NULL FROM d)
     SELECT path, CAST(CASE WHEN want IS NULL THEN 404 ELSE 200 END AS INT) AS status, want AS id FROM r""",
 )
 def snk14(spark, sf_dir):
     d = docs_of(spark, sf_dir).select(F.sha2(F.col("text").cast("binary"), 256).alias("id"))
     boxes = d.select(F.lit("container").alias("kind"), "id").distinct()
-    asked = d.select(F.concat(F.lit("/vsd/d/"), F.upper("id")).alias("path")).union(d.select(F.concat(F.lit("/vsd/o/"), F.substring("id", 2, 64)))).union(d.select(F.concat(F.lit("/vsd/x/"), "id")))
+    asked = d.select(F.concat(F.lit("/store/d/"), F.upper("id")).alias("path")).union(d.select(F.concat(F.lit("/store/o/"), F.substring("id", 2, 64)))).union(d.select(F.concat(F.lit("/store/x/"), "id")))
     return store.route(asked, boxes)
 
 
