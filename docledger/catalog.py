@@ -19,7 +19,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def queries() -> dict:
-    from docledger import queryset, queryset2  # noqa: F401  registers on import
+    from docledger import queryset, queryset2, queryset3  # noqa: F401  registers on import
 
     return QUERIES
 
