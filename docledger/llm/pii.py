@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ QUAD = re.compile(r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 DIGITS = re.compile(r"[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Any of these bytes must be there for any pattern to match.
 HINT = re.compile(rb"@|[0-9]")
 
@@ -110,18 +110,20 @@ def base_spans(raw: bytes | None) -> tuple[str, list[tuple[int, int, int]]]:
     return text, sorted(out)
 
 
-def term_hash(word: bytes) -> int:
-    return int(word_hashes(np.frombuffer(word, dtype=np.uint8))[2][0])
-
-
-def _terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each distinct term of each text."""
+def _words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first byte, last byte + 1, hash) of every term of each text."""
     blob = b"\n".join((t or b"").translate(ALNUM_LOWER) for t in texts)
     first = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])[:-1]
     s, e, h = word_hashes(np.frombuffer(blob, dtype=np.uint8))
     own = np.repeat(np.arange(len(texts)), np.diff(np.append(np.searchsorted(s, first), len(s))))
     m = e - s >= MIN_TERM
-    own, h = own[m], h[m]
+    own, s, e, h = own[m], s[m], e[m], h[m]
+    return own, s - first[own], e - first[own], h
+
+
+def _terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each distinct term of each text."""
+    own, _, _, h = _words(texts)
     with np.errstate(over="ignore"):
         _, at = np.unique(mix(h + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     return own[at], h[at]
@@ -188,9 +190,8 @@ def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: flo
     return materialize(out.select("term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "pii-revealing")
 
 
-def _chunks(terms: DataFrame, size: int):
-    """The revealing terms as sorted arrays, each of about ``size`` entries."""
-    n = max(1, -(-terms.count() // size))
+def _chunks(terms: DataFrame, n: int):
+    """The revealing terms as ``n`` sorted arrays."""
     for k in range(n):
         got = terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k).select("term", "removed").toArrow()
         h = got["term"].to_numpy().astype(np.int64).view(np.uint64)
@@ -202,7 +203,7 @@ SPAN = "struct<start:bigint,kind:string,end:bigint>"
 ORDER = {k: i for i, k in enumerate((*KINDS, "generalise", "remove"))}
 
 
-def spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, chunk_terms: int = CHUNK_TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, chunk_terms: int = CHUNK_TERMS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``(doc_id, text binary, spans array<struct<start, kind, end>>)`` for every row; code points, end exclusive.
 
     Kinds are the four patterns, ``generalise`` and ``remove``. Term spans never overlap base spans.
@@ -212,56 +213,59 @@ def spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOV
     release(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
     out = rows.withColumn("spans", F.lit(None).cast(f"array<{SPAN}>"))
-    for i, chunk in enumerate(_chunks(terms, chunk_terms)):
-        shared = docs.sparkSession.sparkContext.broadcast(chunk)
+    chunks = max(1, -(-terms.count() // chunk_terms))
+    for i, chunk in enumerate(_chunks(terms, chunks)):
+        shared, text_out = docs.sparkSession.sparkContext.broadcast(chunk), with_text or i + 1 < chunks
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, text_out=text_out):
             known, removed = shared.value
             for b in batches:
                 texts, old, found = b.column(1).to_pylist(), b.column(2).to_pylist(), []
                 for lo, hi in groups_of(texts):
-                    hit: list[dict] = [{} for _ in range(lo, hi)]
-                    if len(known):
-                        own, h = _terms(texts[lo:hi])
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        for j in np.flatnonzero(known[at] == h).tolist():
-                            hit[own[j]][int(h[j])] = bool(removed[at[j]])
+                    hits = term_places(texts[lo:hi], known, removed)
                     for j in range(lo, hi):
                         if old[j] is None:
-                            _, base = base_spans(texts[j])
-                            base = [(s, KINDS[k], e) for s, k, e in base]
+                            base = [(s, KINDS[k], e) for s, k, e in base_spans(texts[j])[1]]
                         else:
                             base = [(x["start"], x["kind"], x["end"]) for x in old[j]]
-                        if hit[j - lo]:
-                            base = sorted(base + term_spans(texts[j].decode(), hit[j - lo], base), key=lambda x: (x[0], ORDER[x[1]]))
+                        if j - lo in hits:
+                            base = sorted(base + outside(hits[j - lo], base), key=lambda x: (x[0], ORDER[x[1]]))
                         found.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], names=["doc_id", "text", "spans"])
+                cols = {"doc_id": b.column(0), **({"text": b.column(1)} if text_out else {}), "spans": pa.array(found, kind)}
+                yield pa.RecordBatch.from_pydict(cols)
 
         if i:
             out = materialize(out, "pii-chunk")
-        out = out.mapInArrow(run, f"doc_id bigint, text binary, spans array<{SPAN}>")
+        out = out.mapInArrow(run, f"doc_id bigint, {'text binary, ' if text_out else ''}spans array<{SPAN}>")
     return out
 
 
-def term_spans(text: str, hits: dict[int, bool], taken: list[tuple]) -> list[tuple[int, str, int]]:
-    """Places of the revealing terms in a text, outside the spans already there."""
-    out, words, busy = [], {}, sorted((s, e) for s, _, e in taken)
-    starts, ends = np.array([s for s, _ in busy]), np.maximum.accumulate([e for _, e in busy]) if busy else None
-    for m in TERM.finditer(text):
-        word = m.group().encode().translate(ALNUM_LOWER)
-        if len(word) < MIN_TERM:
-            continue
-        kind = words.get(word)
-        if kind is None:
-            h = term_hash(word)
-            kind = words[word] = ("remove" if hits[h] else "generalise") if h in hits else ""
-        if kind:
-            k = int(np.searchsorted(starts, m.end())) if busy else 0
-            if not k or ends[k - 1] <= m.start():
-                out.append((m.start(), kind, m.end()))
+def term_places(texts: list, known: np.ndarray, removed: np.ndarray) -> dict[int, list[tuple[int, str, int]]]:
+    """By text number: the places of the revealing terms, in code points."""
+    if not len(known):
+        return {}
+    own, s, e, h = _words(texts)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    hit = np.flatnonzero(known[at] == h)
+    out: dict[int, list] = {}
+    cut = np.flatnonzero(np.diff(own[hit])) + 1
+    for part in np.split(hit, cut) if len(hit) else ():
+        i = int(own[part[0]])
+        chars = np.cumsum((np.frombuffer(texts[i], dtype=np.uint8) & 0xC0) != 0x80)  # a character ends no earlier than it starts
+        kinds = ["remove" if x else "generalise" for x in removed[at[part]].tolist()]
+        out[i] = list(zip((chars[s[part]] - 1).tolist(), kinds, chars[e[part] - 1].tolist(), strict=True))
     return out
 
 
+def outside(places: list[tuple[int, str, int]], taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The places that overlap none of those taken."""
+    if not taken:
+        return places
+    busy = sorted((s, e) for s, _, e in taken)
+    starts, ends = [s for s, _ in busy], np.maximum.accumulate([e for _, e in busy])
+    return [x for x in places if not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[0]]
+
+
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, clean_text, spans)``: patterns become ``[KIND]``, terms ``[WORD]`` or nothing."""
 
@@ -284,7 +288,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``."""
-    out = spans(docs, **options).select("doc_id", "spans")
+    out = spans(docs, with_text=False, **options)
     base = F.filter("spans", lambda x: x["kind"].isin(*KINDS))
     told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     kinds = F.transform("spans", lambda x: x["kind"])
