@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Both rounds are an aggregate and a join whose one side is unique by key, so a hub
-node is pre-aggregated before the shuffle and its edge rows can be split by AQE's
-skew-join handling. The number of rounds is logarithmic in the longest chain.
+Edges are kept as (larger, smaller). A round is an aggregate and a join whose one side
+is unique by key, so a hub node is pre-aggregated before the shuffle and its edge rows
+can be split by AQE's skew-join handling. The number of rounds is logarithmic in the longest chain.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if mark == last or mark[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
         last = mark
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        done, e = e, materialize(small.union(low.select("u", "m")).distinct(), tag)
-        discard(done)
+        # stored, so that both sides of a join are plain shuffles, whose hot keys AQE can split
+        low = materialize(e.groupBy("u").agg(F.min("v").alias("m")), tag)
+        up = low.select(F.col("u").alias("v"), "m")
+        large = materialize(e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), tag)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), tag)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        spent = [low, large, least]
+        done, e = e, materialize(small.union(least.select("u", "m")).distinct(), tag)
+        for x in [done, *spent]:
+            discard(x)
