@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.llm._text import small
+
 CRLF = b"\r\n"
 #: Source headers that go to derived records as they are.
 KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type")
@@ -193,12 +195,12 @@ def responses_of_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_
     """Crawled pages as response records, with ``page_id``."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows, ids = [], b.column(0)
             for page, url, body in zip(ids.to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 payload = body or b""
                 block = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}".encode(), b"", payload])
-                rid = record_id("response", str(page), url or "", date)
+                rid = record_id("response", str(page), url or "", date, digest(payload))
                 head = {"WARC-Type": "response", "WARC-Record-ID": rid, **({"WARC-Target-URI": url} if url is not None else {}), "WARC-Date": date}
                 head |= {"WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
                 rows.append((rid, "response", head, block))
@@ -214,7 +216,7 @@ def derivatives(responses: DataFrame, key_col: str | None = None) -> DataFrame:
     """``(key, record_id, type, headers, block)``: two records for every response; key is ``key_col``'s value."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows, keys = [], []
             for key, rid, kind, head, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind != "response":
