@@ -32,7 +32,9 @@ def roll_up(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", (zero("e") == 0).alias("valid"), zero("e").alias("errors"), zero("w").alias("warnings"))
 
 
-AT = path_text("path")
+def at() -> Column:
+    """A finding's path as text."""
+    return path_text("path")
 
 
 def version(docs: DataFrame, major: int) -> DataFrame:
@@ -52,7 +54,7 @@ def undecodable(parts: DataFrame) -> DataFrame:
 
 def root_kind(nodes: DataFrame) -> DataFrame:
     wrong = finding(nodes.where("depth = 0 and kind <> 'doc'"), "error", "E_ROOT_KIND", "the root is not a doc")
-    return wrong.unionByName(finding(nodes.where("depth > 0 and kind = 'doc'"), "error", "E_NESTED_DOC", "a doc inside a doc", AT))
+    return wrong.unionByName(finding(nodes.where("depth > 0 and kind = 'doc'"), "error", "E_NESTED_DOC", "a doc inside a doc", at()))
 
 
 def language(docs: DataFrame) -> DataFrame:
@@ -62,10 +64,10 @@ def language(docs: DataFrame) -> DataFrame:
 def pages(cache: DataFrame, found: DataFrame) -> DataFrame:
     """``cache(doc_id, page_no, page_id, layout_hash)`` against the pages there are ``(page_id, width, height, problem)``."""
     j = cache.join(found, "page_id", "left")
-    at = F.concat(F.lit("page "), F.col("page_no").cast("string"))
-    missing = finding(j.where("width is null and problem is null"), "error", "E_PAGE_MISSING", "page object missing", at)
-    broken = finding(j.where("problem is not null"), "error", "E_PAGE_DECODE", F.col("problem"), at)
-    return report(missing, broken, finding(j.where("width <= 0 or height <= 0"), "error", "E_GEOMETRY", "page without an area", at))
+    where = F.concat(F.lit("page "), F.col("page_no").cast("string"))
+    missing = finding(j.where("width is null and problem is null"), "error", "E_PAGE_MISSING", "page object missing", where)
+    broken = finding(j.where("problem is not null"), "error", "E_PAGE_DECODE", F.col("problem"), where)
+    return report(missing, broken, finding(j.where("width <= 0 or height <= 0"), "error", "E_GEOMETRY", "page without an area", where))
 
 
 def layout_hash(cache: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -119,21 +121,21 @@ def objects(verdicts: DataFrame) -> DataFrame:
 
 def figures(nodes: DataFrame, resources: DataFrame) -> DataFrame:
     figs = nodes.where("kind = 'fig'")
-    blank = finding(figs.where("coalesce(trim(alt), '') = '' and not coalesce(decorative, false)"), "error", "E_ALT_TEXT", "figure without alternative text", AT)
-    return blank.unionByName(finding(figs.join(resources, ["doc_id", "res_id"], "left_anti"), "error", "E_FIG_RES", "figure resource missing", AT))
+    blank = finding(figs.where("coalesce(trim(alt), '') = '' and not coalesce(decorative, false)"), "error", "E_ALT_TEXT", "figure without alternative text", at())
+    return blank.unionByName(finding(figs.join(resources, ["doc_id", "res_id"], "left_anti"), "error", "E_FIG_RES", "figure resource missing", at()))
 
 
 def tables(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """``nodes`` of kind table with ``columns``; ``rows(doc_id, path, part, row_no, spans)``: the sum of column spans."""
     t = nodes.where("kind = 'table'")
-    bare = finding(t.join(rows.where("part = 'body'"), ["doc_id", "path"], "left_anti"), "error", "E_TABLE_EMPTY", "table without body rows", AT)
+    bare = finding(t.join(rows.where("part = 'body'"), ["doc_id", "path"], "left_anti"), "error", "E_TABLE_EMPTY", "table without body rows", at())
     bad = t.select("doc_id", "path", "columns").where("columns > 0").join(rows, ["doc_id", "path"]).where("spans <> columns")
-    return bare.unionByName(finding(bad, "error", "E_TABLE_SHAPE", F.concat(F.lit("row "), F.col("row_no").cast("string")), AT))
+    return bare.unionByName(finding(bad, "error", "E_TABLE_SHAPE", F.concat(F.lit("row "), F.col("row_no").cast("string")), at()))
 
 
 def emptiness(nodes: DataFrame) -> DataFrame:
-    lists = finding(nodes.where("kind = 'list' and coalesce(items, 0) = 0"), "warning", "W_LIST_EMPTY", "empty list", AT)
-    return lists.unionByName(finding(nodes.where("kind = 'math' and coalesce(trim(text), '') = ''"), "error", "E_MATH_EMPTY", "empty formula", AT))
+    lists = finding(nodes.where("kind = 'list' and coalesce(items, 0) = 0"), "warning", "W_LIST_EMPTY", "empty list", at())
+    return lists.unionByName(finding(nodes.where("kind = 'math' and coalesce(trim(text), '') = ''"), "error", "E_MATH_EMPTY", "empty formula", at()))
 
 
 def field_ids(fields: DataFrame) -> DataFrame:
@@ -147,5 +149,5 @@ def field_ids(fields: DataFrame) -> DataFrame:
 def inlines(spans: DataFrame, styles: DataFrame) -> DataFrame:
     """``spans(doc_id, path, kind, style_id, href)`` against ``styles(doc_id, n_styles)``."""
     j = spans.join(styles, "doc_id", "left")
-    bad = finding(j.where("style_id >= coalesce(n_styles, 0)"), "error", "E_STYLE_REF", "unknown style", AT)
-    return bad.unionByName(finding(j.where("kind = 'link' and coalesce(trim(href), '') = ''"), "error", "E_LINK_EMPTY", "empty link", AT))
+    bad = finding(j.where("style_id >= coalesce(n_styles, 0)"), "error", "E_STYLE_REF", "unknown style", at())
+    return bad.unionByName(finding(j.where("kind = 'link' and coalesce(trim(href), '') = ''"), "error", "E_LINK_EMPTY", "empty link", at()))
