@@ -20,6 +20,14 @@ ALNUM_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small(batches, rows: int = 1000, size: int = 8 << 20):
+    """The same rows in batches of at most ``rows``, fewer where they are over ``size`` bytes: a worker's memory is a few of them."""
+    for b in batches:
+        step = max(1, min(rows, int(b.num_rows * size / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def groups_of(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``limit`` bytes together (or one text)."""
     start = size = 0
