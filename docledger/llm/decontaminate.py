@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm._text import ALNUM_LOWER, groups_of, word_hashes
+from docledger.llm._text import ALNUM_LOWER, groups_of, small, word_hashes
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 total from which it is retrieved; shingle size and overlap to confirm.
@@ -235,7 +235,7 @@ def indexes(items: DataFrame, max_items: int = MAX_ITEMS, shingle: int = SHINGLE
         return
 
     def stats(batches):
-        for b in batches:
+        for b in small(batches):
             rows = parts(type("R", (), dict(zip(b.schema.names, x, strict=True))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
             bags = [words_of(q) + words_of(a) for _, q, a in rows]
             flat = [(w, len(t) if i == 0 else 0, int(i == 0)) for t in bags for i, w in enumerate(dict.fromkeys(t))]
@@ -261,7 +261,7 @@ def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE,
 
         def run(batches, shared=shared):
             index, kind = shared.value, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            for b in batches:
+            for b in small(batches):
                 ids, texts, found = b.column(0).to_pylist(), b.column(1).to_pylist(), []
                 for lo, hi in groups_of(texts):
                     for i, hits in enumerate(index.matches(texts[lo:hi], retrieve, overlap)):
@@ -281,7 +281,7 @@ def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in small(batches):
                 texts, keep = b.column(at).cast(pa.binary()).to_pylist(), []
                 for lo, hi in groups_of(texts):
                     keep += [not hits for hits in shared.value.matches(texts[lo:hi], retrieve, overlap)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm._text import ALNUM_LOWER
+from docledger.llm._text import ALNUM_LOWER, small
 
 THRESHOLD = 0.9
 #: Distinct template words the driver will order; beyond it, templates must be scanned in parts.
@@ -126,7 +126,7 @@ def frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str) -> dict
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             count: dict[bytes, int] = {}
             for t in b.column(0).to_pylist():
                 for w in shared.value.intersection(words_of(t)):
@@ -161,7 +161,7 @@ def scans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     block = pa.list_(pa.struct([("template", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             n, places, blocks = [], [], []
             for t in b.column(1).to_pylist():
                 words = words_of(t)

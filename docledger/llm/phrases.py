@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm._bitmap import MAX_BITS_LOG2, bitmap, member
-from docledger.llm._text import gram_hashes, groups_of, mix, word_hashes
+from docledger.llm._text import gram_hashes, groups_of, mix, small, word_hashes
 from docledger.plans.storage import discard, materialize, release
 
 LAST = (1 << 63) - 1
@@ -84,7 +84,7 @@ def _counts(docs: DataFrame, pick, width: int, gram: int) -> DataFrame:
     """Recurring keys: ``pick(Windows)`` gives the hashes to count; summed per batch, then by key."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 3000, 16 << 20):
             texts, found = b.column(0).to_pylist(), []
             for lo, hi in groups_of(texts):
                 found.append(pick(Windows(texts[lo:hi], width, gram)))
@@ -129,7 +129,7 @@ def _places(docs: DataFrame, known, width: int, gram: int, chosen=None) -> DataF
     import xxhash
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for lo, hi in groups_of(texts):
                 w = Windows(texts[lo:hi], width, gram)
@@ -294,7 +294,7 @@ def _finished(docs: DataFrame, with_text: bool, options: dict) -> DataFrame:
     struct = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             total, removed, kept, cuts = [], [], [], []
             for text, copy, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 n, words = kept_words(text, width, copy, ranges)

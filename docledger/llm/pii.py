@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm._bitmap import MAX_BITS_LOG2, bitmap, member
-from docledger.llm._text import ALNUM_LOWER, groups_of, mix, word_hashes
+from docledger.llm._text import ALNUM_LOWER, groups_of, mix, small, word_hashes
 from docledger.plans.storage import materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
@@ -134,7 +134,7 @@ def _entity_rows(docs: DataFrame) -> DataFrame:
     import xxhash
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             ent, held = [], []
             for raw in b.column(0).to_pylist():
                 text, spans = base_spans(raw)
@@ -155,7 +155,7 @@ def _term_counts(docs: DataFrame, known) -> DataFrame:
     """``(term, n)`` document counts over all documents for the terms in a bitmap."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts, found = b.column(0).to_pylist(), []
             for lo, hi in groups_of(texts):
                 _, h = _terms(texts[lo:hi])
@@ -219,7 +219,7 @@ def spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOV
 
         def run(batches, shared=shared, text_out=text_out):
             known, removed = shared.value
-            for b in batches:
+            for b in small(batches):
                 texts, old, found = b.column(1).to_pylist(), b.column(2).to_pylist(), []
                 for lo, hi in groups_of(texts):
                     hits = term_places(texts[lo:hi], known, removed)
@@ -270,7 +270,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, clean_text, spans)``: patterns become ``[KIND]``, terms ``[WORD]`` or nothing."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
             for raw, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text, parts, at = raw.decode(), [], 0

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm._text import ALNUM_LOWER
+from docledger.llm._text import ALNUM_LOWER, small
 
 #: Labelled documents used for fitting, at most.
 SAMPLE = 6_000
@@ -33,7 +33,8 @@ FOLDS, FEATURES, STEPS, RIDGE = 4, 512, 250, 1e-5
 THRESHOLD = 0.5
 #: A feature of fewer sampled documents is not used.
 LEAST = 4
-CACHE = 400_000
+#: Words a worker remembers.
+CACHE = 100_000
 
 
 def features_of(word: bytes) -> list[int]:
@@ -57,7 +58,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], sam
     rows = text.join(F.broadcast(y), F.col("doc_id") == F.col("lab_id")).select("doc_id", "y", "text")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             fs, ns = [], []
             for t in b.column(2).to_pylist():
                 f = [x for w in distinct_words(t) for x in features_of(w)]
@@ -195,7 +196,7 @@ def scores(docs: DataFrame, models, categories: list[str], threshold: float = TH
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small(batches):
             p = np.array([scorer.score(t) for t in b.column(1).to_pylist()]).reshape(-1, len(categories))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(len(categories))), pa.array(p[:, -1] >= threshold)], names=names)
 
@@ -210,7 +211,7 @@ def accepted(docs: DataFrame, models, threshold: float = THRESHOLD, text_col: st
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([scorer.score(t)[-1] < threshold for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
