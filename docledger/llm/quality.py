@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from docledger.plans.storage import materialize
 
-BUCKETS = 1 << 16
+#: Few, so that a document's own n-grams weigh little in any bucket, labelled or not.
+BUCKETS = 1 << 12
 #: Pseudo-count for each bucket.
 SMOOTHING = 1.0
 #: Mean log ratio per n-gram below which a document is not kept.
-THRESHOLD = -0.15
+THRESHOLD = -0.08
 #: Labelled ids up to this number may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SPACE = "\\x09-\\x0D\\x20"
