@@ -59,9 +59,12 @@ NO_START, NO_END = "、。，．・：；？！）」』】〕〉》ー々", "
 def cjk_breaks(text: Column) -> Column:
     """Character positions before which a line may break between CJK characters."""
     cjk = "[\\u3040-\\u30FF\\u3400-\\u9FFF\\uAC00-\\uD7AF\\u3000-\\u303F\\uFF00-\\uFFEF]"
-    at = F.sequence(F.lit(1), F.char_length(text) - 1)
-    ok = lambda i: F.substr(text, i, F.lit(1)).rlike(cjk) & F.substr(text, i + 1, F.lit(1)).rlike(cjk) & ~F.contains(F.lit(NO_START), F.substr(text, i + 1, F.lit(1))) & ~F.contains(F.lit(NO_END), F.substr(text, i, F.lit(1)))
-    return F.when(F.char_length(text) > 1, F.filter(at, ok)).otherwise(F.array().cast("array<int>"))
+    def ok(a, b):
+        return a.rlike(cjk) & b.rlike(cjk) & ~F.contains(F.lit(NO_START), b) & ~F.contains(F.lit(NO_END), a)
+
+    none = F.array().cast("array<int>")
+    chars = F.transform(F.array(F.split(text, "")), lambda c: F.filter(F.sequence(F.lit(1), F.size(c) - 1), lambda i: ok(F.get(c, i - 1), F.get(c, i))))[0]
+    return F.when(text.rlike(cjk) & (F.char_length(text) > 1), chars).otherwise(none)
 
 
 def image_size(width_px: Column, height_px: Column, most: int) -> Column:
@@ -100,3 +103,39 @@ def capabilities(versions: DataFrame) -> DataFrame:
     parts = F.regexp_extract("engine", "^1\\.([0-9]{1,2})(?:\\.[0-9]+)?$", 1)
     v = versions.select("engine", F.when(parts != "", parts).cast("int").alias("m"))
     return v.join(F.broadcast(known)).select("engine", "capability", F.coalesce(F.col("m") >= F.col("minor"), F.lit(False)).alias("supported"))
+
+
+def code_lines(text: Column, tab: int = 4) -> Column:
+    """Code as laid out: CR dropped, tabs filled to the next multiple of ``tab`` columns."""
+    start = F.struct(F.lit("").alias("out"), F.lit(True).alias("first"))
+
+    def fill(s, part):
+        pad = F.repeat(F.lit(" "), tab - F.pmod(F.char_length(s["out"]), F.lit(tab)))
+        return F.struct(F.when(s["first"], part).otherwise(F.concat(s["out"], pad, part)).alias("out"), F.lit(False).alias("first"))
+
+    lines = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
+    return F.transform(lines, lambda line: F.aggregate(F.split(line, "\t"), start, fill, lambda s: s["out"]))
+
+
+def split_paragraph(lines: Column, room: Column, least: int = 2) -> Column:
+    """How many of a paragraph's lines stay on a page with ``room`` lines left.
+
+    At least ``least`` lines stand on either side of a break; a paragraph that cannot be
+    split so moves as a whole (0), one that fits stays as a whole.
+    """
+    stay = F.least(room, lines - least)
+    return F.when(room >= lines, lines).when((stay < least) | (lines < 2 * least), 0).otherwise(stay).cast("int")
+
+
+def flow_columns(blocks: Column, height: int, columns: int) -> Column:
+    """``array<struct<page, column>>`` of blocks flowed down columns, then over pages; see ``paginate``."""
+    return F.transform(paginate(blocks, height), lambda n: F.struct((F.floor((n - 1) / columns) + 1).cast("int").alias("page"), F.pmod(n - 1, F.lit(columns)).alias("column")))
+
+
+#: Elements of mathematical markup that can be laid out. Fixed values.
+MATH = ("math", "mrow", "mstyle", "mpadded", "mi", "mn", "mo", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mfenced")
+
+
+def unsupported_math(markup: Column) -> Column:
+    """Names of the elements outside the supported subset, sorted; empty where all can be laid out."""
+    return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(markup, F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))), F.array(*map(F.lit, MATH))))

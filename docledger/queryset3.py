@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docledger.catalog import register
-from docledger.functions import codecs, hyphenation, scalar
-from docledger.operators import tree
+from docledger.functions import codecs, hyphenation, scalar, wire
+from docledger.operators import layout, tree
 from docledger.plans.storage import table
 from docledger.queryset import LINES, docs_of, objects_of
 from docledger.sinks import container, interchange
@@ -179,3 +179,50 @@ def src22(spark, sf_dir):
 def lay7(spark, sf_dir):
     patterns = hyphenation.load_patterns(["1ti", "e1r", "n1d", "1th", "i1n", "s1t"])
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", hyphenation.hyphenate(F.col("text"), patterns).alias("text"))
+
+
+@register("lay6_code_lines", f"SELECT doc_id, i AS ord, replace(text, chr(13), '') AS line FROM ({LINES})")
+def lay6(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select("doc_id", F.posexplode(layout.code_lines(F.col("text"))).alias("ord", "line"))
+    return d.withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@register("lay8_segments", "SELECT conv_id, turn, list_aggregate(list_transform(string_split(role, 's'), lambda x: length(x)), 'count') > 0 AS some FROM conversations")
+def lay8(spark, sf_dir):
+    words = {"user", "assist", "ant", "sys", "tem"}
+    t = table(spark, sf_dir, "conversations")
+
+    @F.pandas_udf("boolean")
+    def some(s):
+        return s.map(lambda x: "".join(hyphenation.segment(x, words)) == x)
+
+    return t.select("conv_id", "turn", some("role").alias("some"))
+
+
+@register("lay9_cjk_breaks", "SELECT doc_id, 0 AS breaks FROM documents")
+def lay9(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.size(layout.cjk_breaks(F.col("text"))).alias("breaks"))
+
+
+@register(
+    "lay15_widow_control",
+    """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN r >= n THEN n WHEN least(r, n - 2) < 2 OR n < 4 THEN 0 ELSE least(r, n - 2) END AS INT) AS stay FROM (SELECT *, CAST(l_quantity AS INT) AS n, l_linenumber * 5 AS r FROM lineitem)""",
+)
+def lay15(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", layout.split_paragraph(F.col("l_quantity").cast("int"), F.col("l_linenumber") * 5).alias("stay"))
+
+
+@register("lay20_math_subset", "SELECT page_id, len(list_filter(list_distinct(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)), lambda x: x NOT IN ('math'))) AS n FROM pages")
+def lay20(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(layout.unsupported_math(F.col("html"))).alias("n"))
+
+
+@register("enc5_document_round_trip", "SELECT page_id, true AS same FROM pages")
+def enc5(spark, sf_dir):
+    def same(t):
+        blocks = html.parse(t)
+        raw = wire.encode_document(blocks, "und")
+        return int(wire.encode_document(wire.decode_document(raw)[2], "und") == raw)
+
+    return mapped(table(spark, sf_dir, "pages"), "page_id", "html", same, "bigint").select("page_id", (F.col("v") == 1).alias("same"))
