@@ -28,7 +28,7 @@ def small(batches, rows: int = 1000, size: int = 8 << 20):
             yield b.slice(at, step)
 
 
-def groups_of(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups_of(texts: list, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``limit`` bytes together (or one text)."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -72,7 +72,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(buf: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hash64) of the words of a buffer; equal words have equal hashes.
 
     Works in slices that end at white space, so memory follows ``step`` and the
