@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A bitmap has 16 to 32 bits for each entry until this many bits (128 MB).
-MAX_BITS_LOG2 = 30
+#: A bitmap has 16 to 32 bits for each entry until this many bits (64 MB).
+MAX_BITS_LOG2 = 29
 
 
 def bitmap(keys: DataFrame, max_log2: int = MAX_BITS_LOG2) -> tuple[np.ndarray, int]:

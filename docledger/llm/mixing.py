@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docledger.plans.storage import materialize
+
 #: A source's rate is exact; its distribution is tabulated to where 2^-52 of it is left.
 HASH_DIGITS = 13
 
@@ -39,10 +41,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5,
     else:
         w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
         by = by.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    sums = by.agg(F.sum("weight").alias("all_weight"), F.sum("size").cast("double").alias("all_size"))
-    want = F.lit(float(total)) if total is not None else F.col("all_size")
-    rate = F.when((F.col("size") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * want / F.col("size")).otherwise(1.0)
-    return by.join(F.broadcast(sums)).select("source", "size", rate.alias("rate"))
+    by = materialize(by, "mix-sources")  # one row per source, read again instead of the documents
+    all_weight, all_size = by.agg(F.sum("weight"), F.sum("size").cast("double")).first()
+    want = F.lit(float(total if total is not None else all_size or 0.0))
+    rate = F.when((F.col("size") > 0) & F.lit((all_weight or 0.0) > 0), F.col("weight") / F.lit(all_weight or 1.0) * want / F.col("size")).otherwise(1.0)
+    return by.select("source", "size", rate.alias("rate"))
 
 
 def distribution(rate: Column) -> Column:
