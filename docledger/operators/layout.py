@@ -139,3 +139,15 @@ MATH = ("math", "mrow", "mstyle", "mpadded", "mi", "mn", "mo", "mtext", "mspace"
 def unsupported_math(markup: Column) -> Column:
     """Names of the elements outside the supported subset, sorted; empty where all can be laid out."""
     return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(markup, F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))), F.array(*map(F.lit, MATH))))
+
+
+def justify(line: Column, width: int) -> Column:
+    """A line of words spread to ``width`` characters; what does not divide goes to the leftmost gaps."""
+    words = F.split(layout_text(line), " ")
+
+    def spread(w):
+        gaps, slack = F.size(w) - 1, F.lit(width) - F.aggregate(w, F.lit(0), lambda a, x: a + F.char_length(x))
+        parts = F.transform(w, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.repeat(F.lit(" "), F.floor(slack / gaps).cast("int") + (i <= slack % gaps).cast("int")), x)))
+        return F.when((gaps < 1) | (slack < gaps), F.array_join(w, " ")).otherwise(F.array_join(parts, ""))
+
+    return F.transform(F.array(words), spread)[0]

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docledger.catalog import register
-from docledger.functions import codecs, hyphenation, scalar, wire
+from docledger.functions import codecs, ed25519, hyphenation, scalar, wire
 from docledger.operators import layout, tree
 from docledger.plans.storage import table
 from docledger.queryset import LINES, docs_of, objects_of
@@ -226,3 +226,17 @@ def enc5(spark, sf_dir):
         return int(wire.encode_document(wire.decode_document(raw)[2], "und") == raw)
 
     return mapped(table(spark, sf_dir, "pages"), "page_id", "html", same, "bigint").select("page_id", (F.col("v") == 1).alias("same"))
+
+
+@register("lay13_justify", "SELECT conv_id, turn, CAST(CASE WHEN n <= 60 AND w > 1 THEN 60 ELSE n END AS INT) AS length FROM (SELECT *, length(t) AS n, len(string_split(t, ' ')) AS w FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM conversations))")
+def lay13(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(layout.justify(F.col("text"), 60)).alias("length"))
+
+
+@register("sig2_sign_and_verify", "SELECT conv_id, turn, turn % 2 = 0 AS ok FROM conversations")
+def sig2(spark, sf_dir):
+    seed = bytes([42]) * 32
+    m = F.col("text").cast("binary")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", m.alias("m"), ed25519.signed(m, seed).alias("s"))
+    said = F.when(F.col("turn") % 2 == 0, F.col("m")).otherwise(F.concat(F.col("m"), F.lit(b"!")))
+    return t.select("conv_id", "turn", ed25519.verified(F.lit(ed25519.public_key(seed)), said, F.col("s")).alias("ok"))

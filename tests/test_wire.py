@@ -46,3 +46,21 @@ def test_layout_columns(spark):
     assert r.m == ["mtable"]
     assert [tuple(x) for x in r.flow] == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)]
     assert r.lines == ["aa bb", "cccccccc", "d"]
+
+
+def test_ed25519_published_values():
+    from docledger.functions import ed25519 as ed
+
+    seed = bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")
+    assert ed.public_key(seed).hex() == "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c"
+    sig = ed.sign(seed, b"\x72")
+    assert sig.hex().startswith("92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da")
+    key = ed.public_key(seed)
+    assert ed.verify(key, b"\x72", sig) and not ed.verify(key, b"\x73", sig)
+    assert not ed.verify(key, b"\x72", sig[:63]) and not ed.verify(b"\xff" * 32, b"\x72", sig)
+    assert ed.public_key(bytes([42]) * 32).hex() == "197f6b23e16c8532c6abc838facd5ea789be0c76b2920334039bfa8b3d368d61"
+
+
+def test_justify(spark):
+    r = spark.range(1).select(layout.justify(F.lit("a bb  c"), 10).alias("x"), layout.justify(F.lit("word"), 10).alias("y"), layout.justify(F.lit("too long line"), 5).alias("z")).first()
+    assert tuple(r) == ("a   bb   c", "word", "too long line")
