@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm._bitmap import bitmap, member
 from docledger.llm._text import mix, small
 from docledger.operators.graph import connected_components
 from docledger.plans.storage import discard, materialize, release
@@ -42,14 +43,14 @@ MANY = 256
 CODE_BITS = 15
 
 
-def fingerprint_bytes(text: bytes | None, shingle: int, seed: int, count: int = 1) -> list[int]:
-    """``count`` fingerprints of one text, in slices of bounded size; all but the first from mixed hashes."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int):
+    """The 64-bit hashes of a text's shingles in order, in slices of bounded size."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return [0] * count
-    norm, n, ones = b" ".join(words), max(1, len(words) - shingle + 1), np.zeros((count, BITS), dtype=np.int64)
+        return
+    norm, n = b" ".join(words), max(1, len(words) - shingle + 1)
     if len(words) <= shingle:
         starts, ends = [0], [len(norm)]
     else:
@@ -59,7 +60,32 @@ def fingerprint_bytes(text: bytes | None, shingle: int, seed: int, count: int =
     del words
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, SLICE):
-        h = np.array([digest(norm[a:b], seed) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE], strict=True)], dtype="<u8")
+        yield np.array([digest(norm[a:b], seed) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE], strict=True)], dtype="<u8")
+
+
+def shingle_set(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle, seed)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *parts]))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two shingle sets share ``least`` of their union; two empty ones do."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def fingerprint_bytes(text: bytes | None, shingle: int, seed: int, count: int = 1) -> list[int]:
+    """``count`` fingerprints of one text, in slices of bounded size; all but the first from mixed hashes."""
+    return _fingerprints(shingle_hashes(text, shingle, seed), count)
+
+
+def _fingerprints(slices, count: int) -> list[int]:
+    n, ones = 0, np.zeros((count, BITS), dtype=np.int64)
+    for h in slices:
+        n += len(h)
         for k in range(count):
             with np.errstate(over="ignore"):
                 own = mix(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) if k else h
@@ -67,15 +93,24 @@ def fingerprint_bytes(text: bytes | None, shingle: int, seed: int, count: int =
     return [sum(1 << j for j in np.flatnonzero(2 * row > n).tolist()) for row in ones]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, count: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, fp1, ...)``: each fingerprint's 64 bits as a signed long."""
-    names = ["fp", *(f"fp{k}" for k in range(1, count))]
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, count: int = 1, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False) -> DataFrame:
+    """``(doc_id, fp, fp1, ...)``: each fingerprint's 64 bits as a signed long; ``with_set`` adds ``same``, a hash of the shingle set."""
+    names = ["fp", *(f"fp{k}" for k in range(1, count)), *["same"] * with_set]
+
+    def values(text):
+        if not with_set:
+            return fingerprint_bytes(text, shingle, seed, count)
+        import xxhash
+
+        slices = list(shingle_hashes(text, shingle, seed))
+        held = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *slices]))
+        return [*_fingerprints(slices, count), xxhash.xxh64_intdigest(held.tobytes(), seed)]
 
     def run(batches):
         for b in small(batches):
-            rows = [fingerprint_bytes(t.as_py(), shingle, seed, count) for t in b.column(1)]
-            bits = np.array(rows, dtype=np.uint64).reshape(-1, count).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(bits[:, k]) for k in range(count))], names=["doc_id", *names])
+            rows = [values(t.as_py()) for t in b.column(1)]
+            bits = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(bits[:, k]) for k in range(len(names)))], names=["doc_id", *names])
 
     ids = F.col(id_col).cast("bigint").alias("doc_id")
     return docs.select(ids, F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in names))
@@ -166,12 +201,34 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def links(cells: DataFrame, names: list[str], node: str, carried: list[str], threshold: int) -> DataFrame:
-    """Spanning edges ``(u, v)`` between the ``node`` values whose fingerprints ``names`` differ in few bits."""
+def nearest(n: int, a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Indexes of the edges a[i]-b[i] of a spanning forest over ``n`` nodes with the smallest gaps."""
+    order = np.argsort(gap, kind="stable")
+    a, b, root, at, kept = a[order], b[order], np.arange(n), np.arange(len(order)), [np.zeros(0, dtype=np.int64)]
+    while len(at):
+        ra, rb = root[a[at]], root[b[at]]
+        m = ra != rb
+        at, ra, rb = at[m], ra[m], rb[m]
+        best = np.full(n, len(order))
+        np.minimum.at(best, ra, at)
+        np.minimum.at(best, rb, at)
+        kept.append(np.unique(best[best < len(order)]))
+        _unite(root, a[kept[-1]], b[kept[-1]])
+    return order[np.concatenate(kept)]
+
+
+def links(cells: DataFrame, names: list[str], node: str, carried: list[str], threshold: int, pick: str = "star", apart: str | None = None) -> DataFrame:
+    """Edges ``(u, v)`` between the ``node`` values whose fingerprints ``names`` differ in few bits.
+
+    ``star``: each linked row of a cell with its group's first one. ``tree``: a spanning forest of the links
+    themselves, the nearest first. ``all``: every link between rows that differ in column ``apart``.
+    """
     bits_at, node_at = [carried.index(c) for c in names], carried.index(node)
 
     def within(cell, cols, home):
         """Edges of whole cells: arrays sorted by cell."""
+        ids, place = np.unique(cols[node_at], return_inverse=True)
+        tree = [np.zeros(0, dtype=np.int64)] * 3
         first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         size = np.diff(np.append(first, len(cell)))
         own = np.repeat(np.arange(len(first)), size)
@@ -186,16 +243,31 @@ def links(cells: DataFrame, names: list[str], node: str, carried: list[str], thr
             right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own[h]], n)
             gap = sum(np.bitwise_count(cols[k][left].view(np.uint64) ^ cols[k][right].view(np.uint64)).astype(np.int16) for k in bits_at)
             near = (gap <= threshold) & (node[left] != node[right])
-            _unite(root, left[near], right[near])
+            if pick == "all":
+                other = cols[carried.index(apart)]
+                near &= other[left] != other[right]
+                a, b = place[left[near]], place[right[near]]
+                pair = np.unique(np.maximum(a, b) * len(ids) + np.minimum(a, b))
+                yield ids[pair // len(ids)], ids[pair % len(ids)]
+            elif pick == "tree":
+                if near.any():
+                    tree = [np.concatenate(x) for x in zip(tree, (place[left[near]], place[right[near]], gap[near]), strict=True)]
+                    at = nearest(len(ids), *tree)
+                    tree = [x[at] for x in tree]
+            else:
+                _unite(root, left[near], right[near])
             i = j
-        m = np.flatnonzero(root != np.arange(len(root)))
-        return node[m], node[root[m]]
+        if pick == "tree":
+            yield ids[np.maximum(tree[0], tree[1])], ids[np.minimum(tree[0], tree[1])]
+        elif pick == "star":
+            m = np.flatnonzero(root != np.arange(len(root)))
+            yield node[m], node[root[m]]
 
     def edges(parts):
         if parts:
             cell, *cols, home = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = within(cell, cols, home)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+            for a, b in within(cell, cols, home):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     def run(batches):
         kept: list = []
@@ -213,11 +285,16 @@ def links(cells: DataFrame, names: list[str], node: str, carried: list[str], thr
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint")
 
 
-def linked(groups: DataFrame, of: str, names: list[str], node: str, threshold: int, reach: int, segments: int, block: int) -> DataFrame:
-    """Stored spanning edges ``(u, v)`` between groups that meet at an anchor of column ``of``."""
-    carried = list(dict.fromkeys([*names, node]))
-    rows = materialize(anchors(groups, of, carried, reach, segments), "simhash-anchors")
-    edges = materialize(links(dealt(rows, carried, block), names, node, carried, threshold), "simhash-links")
+def linked(groups: DataFrame, of: list[str], names: list[str], node: str, threshold: int, reach: int, segments: int, block: int, pick: str = "star", apart: str | None = None) -> DataFrame:
+    """Stored edges ``(u, v)``, picked as in ``links``, between groups that meet at an anchor of a column in ``of``."""
+    carried = list(dict.fromkeys([*names, node, *[apart] * bool(apart)]))
+    rows = None
+    for k, c in enumerate(of):
+        own = anchors(groups, c, carried, reach, segments).withColumn("anchor", F.col("anchor") + F.lit(k << 44))
+        rows = own if rows is None else rows.union(own)
+    rows = materialize(rows, "simhash-anchors")
+    edges = links(dealt(rows, carried, block), names, node, carried, threshold, pick, apart)
+    edges = materialize(edges if pick == "star" else edges.distinct(), "simhash-links")
     discard(rows)
     release(groups.sparkSession)
     return edges
@@ -246,7 +323,7 @@ def components(prints: DataFrame, threshold: int = 4, segments: int | None = Non
     groups = grouped(prints, ["fp"])
     if segments is None:
         segments = 3 if groups.count() < 1 << 26 else 2
-    edges = linked(groups, "fp", ["fp"], "fp", threshold, threshold // segments, segments, block)
+    edges = linked(groups, ["fp"], ["fp"], "fp", threshold, threshold // segments, segments, block)
     comp = materialize(connected_components(edges), "simhash-components")
     low = groups.join(comp, groups.fp == comp.node, "inner").groupBy("root").agg(F.min("low").alias("least"))
     least = comp.join(low, "root").select(F.col("node").alias("fp"), "least")
@@ -261,8 +338,34 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_wide(docs: DataFrame, parts: int, threshold: int, shingle: int, seed: int = 42, segments: int = 3, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, component_id)`` by a fingerprint of ``parts`` times 64 bits.
+def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, seed: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored: the ``pairs(u, v)`` of doc_ids whose texts share ``least`` of their distinct shingles, compared by 64-bit hashes."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("id")).select(F.xxhash64("id").alias("key")).distinct()))
+
+    def sets(batches):
+        for b in small(batches):
+            b = b.filter(pa.array(member(*wanted.value, b.column(2).to_numpy().view(np.uint64))))
+            held = [shingle_set(t.as_py(), shingle, seed).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["node", "held"])
+
+    def check(batches):
+        for b in small(batches, 256):
+            ok = [alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), least) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
+    held = materialize(rows.mapInArrow(sets, "node bigint, held binary").distinct(), "simhash-sets")
+    wanted.unpersist()
+    first, second = held.select(F.col("node").alias("u"), F.col("held").alias("a")), held.select(F.col("node").alias("v"), F.col("held").alias("b"))
+    both = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b")
+    out = materialize(both.mapInArrow(check, "u bigint, v bigint").distinct(), "simhash-confirmed")
+    discard(held)
+    return out
+
+
+def near_duplicates_wide(docs: DataFrame, parts: int, threshold: int, shingle: int, seed: int = 42, segments: int = 3, block: int = BLOCK, least: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: groups linked by a shingle similarity of ``least``, found by fingerprints of ``parts`` times 64 bits.
 
     The share of differing bits measures the angle between two shingle multisets; more bits
     measure it better. Every part is covered by anchors with segment threshold 1, and two
@@ -270,21 +373,36 @@ def near_duplicates_wide(docs: DataFrame, parts: int, threshold: int, shingle: i
     ``2 * segments * parts - 1`` bits always meet; with 4 parts of 3 segments, texts at a shingle
     similarity of 0.9 meet with probability 0.99, at 0.8 with 0.86.
 
+    Bits only propose: a pair is a link once its shingle sets are compared. First the nearest links of
+    each cell that span it are confirmed; then every other pair that met, of rows not yet in one group.
+    So each pair that meets within ``threshold`` bits is either confirmed, refused or within one group.
+    The second step compares as many pairs as lie between groups, with the square of a crowd's size
+    where many texts are within ``threshold`` bits but below ``least``.
+
     Rows whose doc_ids are all null for one fingerprint are in no group.
     """
-    prints = materialize(fingerprints(docs, shingle, seed, parts), "simhash-prints")
+    prints = materialize(fingerprints(docs, shingle, seed, parts, with_set=True), "simhash-prints")
     names = ["fp", *(f"fp{k}" for k in range(1, parts))]
-    groups = grouped(prints, names)
-    edges = None
+    groups = grouped(prints, [*names, "same"])
+    known, edges = groups.where("low is not null"), None
     for of in names:
-        new = linked(groups.where("low is not null"), of, names, "low", threshold, 1, segments, block)
+        new = linked(known, [of], names, "low", threshold, 1, segments, block, "tree")
         edges = new if edges is None else edges.union(new)
-    comp = materialize(connected_components(edges), "simhash-components")
-    to = groups.join(comp, F.col("low") == F.col("node"), "left").select(*names, "n", F.coalesce("root", "low").alias("component_id"))
-    return attach(prints, materialize(to, "simhash-classes"), names).select("doc_id", "component_id")
-
-
-#: The pipeline's choice: 256 bits over five-word shingles, of which at most 46 differ (similarity 0.8 gives 39 on average).
+    edges = materialize(edges.distinct(), "simhash-edges")
+    sure = confirmed(docs, edges, shingle, seed, least)
+    comp = materialize(connected_components(sure), "simhash-components")
+    met = edges.select(F.explode(F.array("u", "v")).alias("met")).distinct()
+    again = known.join(met, F.col("low") == F.col("met"), "left_semi").join(comp, F.col("low") == F.col("node"), "left")
+    again = materialize(again.select(*names, "low", F.coalesce("root", "low").alias("own")), "simhash-again")
+    rest = linked(again, names, names, "low", threshold, 1, segments, block, "all", "own").join(edges, ["u", "v"], "left_anti")
+    more = confirmed(docs, materialize(rest, "simhash-rest"), shingle, seed, least)
+    if not more.isEmpty():
+        comp = materialize(connected_components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "simhash-components")
+    to = groups.join(comp, F.col("low") == F.col("node"), "left").select(*names, "same", "n", F.coalesce("root", "low").alias("component_id"))
+    return attach(prints, materialize(to, "simhash-classes"), [*names, "same"]).select("doc_id", "component_id")
+
+
+#: The pipeline's choice: links of similarity 0.8 over five-word shingles, proposed where at most 46 of 256 bits differ (39 on average).
 STAGE = {"parts": 4, "threshold": 46, "shingle": 5}
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -86,6 +87,53 @@ def test_stage_keeps_one_of_each_group(docs, corpus, odd, none):
     assert simhash.keep_representatives(none).count() == 0
 
 
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_stage_confirms_links_by_shingles(spark, block):
+    rnd = random.Random(5)
+    texts = []
+    for k in range(12):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(90)]
+        for changed in (0, 1, 1, 1, 2, 2, 3, 3):
+            words = list(base)
+            for at in rnd.sample(range(5, 85), changed):
+                words[at] = f"x{k}y{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rnd.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    bits = [simhash.fingerprint_bytes(t.encode(), 5, 42, 4) for t in texts]
+    gap = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(bits[i], bits[j], strict=True))
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if gap(i, j) <= 46]
+    like = {(i, j) for i in range(len(texts)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    assert len([p for p in close if p not in like]) > 20 and len([p for p in close if p in like]) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    comp = {r[0]: r[1] for r in simhash.near_duplicates_wide(df, **simhash.STAGE, block=block).collect()}
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    sure = roots([(i, j) for i, j in close if (i, j) in like and gap(i, j) < 24])
+    most = roots([p for p in close if p in like])
+    assert all(comp[i] == comp[r] for i, r in enumerate(sure))  # these always meet
+    assert all(most[i] == most[c] for i, c in comp.items())  # nothing else is a link
+    assert sum(comp[i] == i for i in comp) <= sum(r == i for i, r in enumerate(most)) + 3
+
+
+def test_one_fingerprint_with_other_shingles_is_no_copy(spark):
+    often = "a b c d e " * 40
+    rows = [(0, often + "some tail of words"), (1, often + " ".join(f"other{i}" for i in range(60))), (2, often + "some tail of words")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r[0] for r in simhash.keep_representatives(df).collect()) == [0, 1]
+
+
 def test_long_text_is_read_in_slices():
     text = " ".join(f"w{i % 977}" for i in range(simhash.SLICE + 500)).encode()
     whole = simhash.fingerprint_bytes(text, 4, 42)[0]
