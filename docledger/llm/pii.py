@@ -34,7 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE = 0.9, 0.97
 #: Documents a term and an entity must share at least.
 SUPPORT = 3
-MIN_TERM = 4
+#: Terms of every length count; frequent short words fall out by the bound on counts.
+MIN_TERM = 1
 #: Revealing terms in one broadcast (8 bytes each and a flag).
 CHUNK_TERMS = 2_000_000
 
@@ -116,8 +117,6 @@ def _words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     first = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])[:-1]
     s, e, h = word_hashes(np.frombuffer(blob, dtype=np.uint8))
     own = np.repeat(np.arange(len(texts)), np.diff(np.append(np.searchsorted(s, first), len(s))))
-    m = e - s >= MIN_TERM
-    own, s, e, h = own[m], s[m], e[m], h[m]
     return own, s - first[own], e - first[own], h
 
 

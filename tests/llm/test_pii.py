@@ -60,6 +60,19 @@ def test_revealing_terms_against_counts(spark):
     assert "zephyrine" in want and "halfway" not in want
 
 
+def test_short_terms_reveal_too(spark):
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, 40) + " it") for i in range(100)]
+    for i in range(8):
+        rows[i] = (i, f"Kim Q in 17: {rows[i][1]} call kim@corp.example")
+    rows[8] = (8, "Kim Q in 17 " + rows[8][1])
+    out = {r.doc_id: r for r in pii.sanitised(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(9):
+        words = out[i].clean_text.replace(":", " ").split()
+        assert not {"Kim", "Q", "17"} & set(words) and "it" in words
+    assert out[50].clean_text == rows[50][1]
+
+
 def test_spans_text_and_chunks(spark):
     rows, df = planted(spark)
     out = {r.doc_id: r for r in pii.sanitised(df).collect()}
