@@ -14,6 +14,8 @@ input pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,37 +50,45 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5,
     return by.select("source", "size", rate.alias("rate"))
 
 
+#: Above this rate the distribution is tabulated from 12 deviations and 25 below it, where exp(-70) of it is left.
+FROM_ZERO = 256.0
+
+
+def lowest(rate: Column) -> Column:
+    """The count at which the table of a rate's distribution begins."""
+    return F.when(rate > FROM_ZERO, F.floor(rate - 12 * F.sqrt(rate) - 25)).otherwise(0).cast("bigint")
+
+
 def distribution(rate: Column) -> Column:
-    """Poisson distribution function at 0, 1, 2, ... as an array, long enough for 52-bit numbers.
+    """Poisson distribution function at lowest(rate), lowest(rate) + 1, ... as an array, long enough for 52-bit numbers.
 
-    Large rates start from exp(-rate) > 0 only up to about 700; such rates are sums of
-    whole repetitions plus a remainder, so the remainder alone is drawn (see ``copies``).
+    exp(-rate) is 0 above about 700, so a large rate's first probability comes from its logarithm,
+    with Stirling's series for the factorial; the count is then 39 at least.
     """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 25).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+    low = lowest(rate).cast("double")
+    top = F.ceil(rate + 12 * F.sqrt(rate) + 25).cast("bigint")
+    series = 1 / (12 * low) - 1 / (360 * F.pow(low, 3)) + 1 / (1260 * F.pow(low, 5))
+    begun = F.exp(low - rate + low * F.log1p((rate - low) / low) - 0.5 * F.log(2 * math.pi * low) - series)
+    first = F.when(low > 0, begun).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
 
     def step(s, k):
         p = s["p"] * rate / k.cast("double")
         c = s["c"] + p
         return F.struct(p.alias("p"), c.alias("c"), F.concat(s["all"], F.array(c)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["all"])
-
-
-#: Above this rate the whole part beyond it is repeated as it is.
-MAX_DRAWN = 256.0
+    return F.aggregate(F.sequence(lowest(rate) + 1, top), start, step, lambda s: s["all"])
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, total: float | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "mix_key") -> DataFrame:
     """The input's rows once for each copy, plus ``copy`` (from 0) and ``mix_key``, in the order of mix_key."""
     rate = rates(docs, weights, power, total, source_col, text_col)
-    fixed = F.greatest(F.lit(0.0), F.floor(F.col("rate") - MAX_DRAWN).cast("double"))
-    table = rate.select("source", fixed.cast("bigint").alias("fixed"), distribution(F.col("rate") - fixed).alias("cdf"))
+    table = rate.select("source", lowest(F.col("rate")).alias("low"), distribution(F.col("rate")).alias("cdf"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     inner = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(source_col).alias("own"))
     joined = inner.join(table, F.col("own").eqNullSafe(F.col("source")))
     u = uniform(seed, F.col("id"))
-    drawn = joined.withColumn("u", u).select("row", "id", (F.size(F.filter("cdf", lambda c: c <= F.col("u"))) + F.col("fixed")).cast("int").alias("k"))
+    drawn = joined.withColumn("u", u).select("row", "id", (F.size(F.filter("cdf", lambda c: c <= F.col("u"))) + F.col("low")).cast("int").alias("k"))
     copies = drawn.where("k > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
     keyed = copies.select("row", F.col("copy").cast("bigint").alias("copy"), uniform(f"{seed}/order", F.col("id"), F.col("copy")).alias("key"), "id")
     names = [f"row.`{c}`" for c in docs.columns]

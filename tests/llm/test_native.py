@@ -1,4 +1,6 @@
+import bisect
 import collections
+import hashlib
 import math
 import re
 
@@ -92,6 +94,26 @@ def test_mixing_large_rates_and_defined_cases(spark, docs, none, odd):
     assert twice[5] % 2 == 0
 
 
+def test_mixing_draws_large_rates_from_the_whole_distribution(spark, tmp_path, docs):
+    lam, n = 1000.0, 300
+    df = spark.createDataFrame([(i, "ab", "en", "s", 2) for i in range(n)], docs.schema)
+    got = {r[0]: r[1] for r in mixing.mixed(df, total=2.0 * n * lam).groupBy("doc_id").count().collect()}
+    cdf, c = [], 0.0
+    for k in range(1500):
+        c += math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1))
+        cdf.append(c)
+    for i in range(n):
+        u = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        assert got[i] == bisect.bisect_right(cdf, u)
+    assert 0.7 < sum((x - lam) ** 2 for x in got.values()) / n / lam < 1.4
+    rows = [(0, "a", "en", "tiny", 1), (1, "b" * 90000, "en", "large", 90000), (2, "c" * 400000, "en", "large", 400000)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(path := str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(f"SELECT doc_id, copy FROM ({mixing.ORACLE}) ORDER BY 1, 2").fetchall()
+    assert [tuple(r) for r in mixing.mixed(spark.read.parquet(path)).select("doc_id", "copy").orderBy("doc_id", "copy").collect()] == want and len(want) > 600
+
+
 def test_sharding_table_and_placement(spark, docs, odd, none):
     table = sharding.lookup_table([f"s{i}" for i in range(7)], 101)
     load = collections.Counter(table)
