@@ -28,6 +28,15 @@ def small(batches, rows: int = 1000, size: int = 8 << 20):
             yield b.slice(at, step)
 
 
+def utf8(texts: list) -> list:
+    """The same byte strings; bytes that are not UTF-8 become replacement characters."""
+    try:
+        b" ".join(t for t in texts if t is not None).decode()
+        return texts
+    except UnicodeDecodeError:
+        return [t if t is None else t.decode(errors="replace").encode() for t in texts]
+
+
 def groups_of(texts: list, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``limit`` bytes together (or one text)."""
     start = size = 0
