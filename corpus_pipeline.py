@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docledger.llm import decontaminate, mixing, sharding, simhash, toxicity
+from docledger.llm._columns import own
 from docledger.llm.registry import CATEGORIES, category_labels
 from docledger.plans.storage import materialize, table
 
@@ -32,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in a global random order."""
-    return mixing.mixed(docs).select(*[f"`{c}`" for c in docs.columns])
+    return mixing.mixed(docs).select(*[own(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
