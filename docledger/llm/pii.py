@@ -3,14 +3,15 @@
 Patterns give the protected entities: e-mail addresses, IP addresses, payment cards and
 phone numbers. Document counts over the whole corpus then estimate how strongly a term reveals
 an entity: PMI(term; entity) over the entity's information content, which is 1 when the
-term never occurs without the entity. Terms above one threshold are generalised, above a
-higher one removed, wherever they occur.
+term never occurs without the entity. Terms above one threshold are generalised to their class (a number,
+a code, a name, a word), above a higher one removed, wherever they occur.
 
 Only terms can matter that occur often enough with some entity, which bounds
-them by counts alone; the bound is exact and prunes the co-occurrence join. Counts are
+them by counts alone; the bound is exact and prunes the co-occurrence join, as do entities of too few
+documents, before any pair of a term and an entity is made. Counts are
 summed per batch before the shuffle. Revealing terms are broadcast in chunks of stated size.
 
-Defined cases: a null text is an empty one; repeated rows count and are marked alike; a
+Defined cases: a null text is an empty one; bytes that are not UTF-8 count as replacement characters; repeated rows count and are marked alike; a
 null doc_id stays null; an empty corpus has no terms; other columns are ignored.
 """
 
@@ -26,16 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm._bitmap import MAX_BITS_LOG2, bitmap, member
-from docledger.llm._text import ALNUM_LOWER, groups_of, mix, small, word_hashes
-from docledger.plans.storage import materialize, release
+from docledger.llm._text import ALNUM_LOWER, groups_of, mix, small, utf8, word_hashes
+from docledger.plans.storage import discard, materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
 #: Shares of an entity's information from which a term is generalised, or removed.
 GENERALISE, REMOVE = 0.9, 0.97
 #: Documents a term and an entity must share at least.
 SUPPORT = 3
-#: Terms of every length count; frequent short words fall out by the bound on counts.
-MIN_TERM = 1
 #: Revealing terms in one broadcast (8 bytes each and a flag).
 CHUNK_TERMS = 2_000_000
 
@@ -135,7 +134,7 @@ def _entity_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in small(batches):
             ent, held = [], []
-            for raw in b.column(0).to_pylist():
+            for raw in utf8(b.column(0).to_pylist()):
                 text, spans = base_spans(raw)
                 if spans:
                     ent.append(sorted({xxhash.xxh64_intdigest(f"{KINDS[k]}:{text[s:e].lower()}") >> 1 for s, k, e in spans}))
@@ -155,7 +154,7 @@ def _term_counts(docs: DataFrame, known) -> DataFrame:
 
     def run(batches):
         for b in small(batches):
-            texts, found = b.column(0).to_pylist(), []
+            texts, found = utf8(b.column(0).to_pylist()), []
             for lo, hi in groups_of(texts):
                 _, h = _terms(texts[lo:hi])
                 found.append(h[member(*known.value, h)])
@@ -166,6 +165,24 @@ def _term_counts(docs: DataFrame, known) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _pruned(rows: DataFrame, often, maybe) -> DataFrame:
+    """``_entity_rows`` without the entities and terms outside two bitmaps, and without rows that lose all of either."""
+    shared = rows.sparkSession.sparkContext.broadcast((often, maybe))
+
+    def run(batches):
+        for b in small(batches):
+            cols = []
+            for col, bits in zip(b.columns, shared.value, strict=True):
+                flat, at = col.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(col.offsets.to_numpy()))))
+                keep = member(*bits, flat.view(np.uint64))
+                n = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(n), pa.array(flat[keep])))
+            out = pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            yield out.filter(pa.array(np.all([np.diff(c.offsets.to_numpy()) > 0 for c in cols], axis=0)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, max_log2: int = MAX_BITS_LOG2) -> DataFrame:
     """``(term, disclosure, removed)``: terms by hash whose disclosure reaches ``generalise``."""
     total = docs.count()
@@ -179,14 +196,19 @@ def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: flo
     seen = materialize(seen.select("term", "n"), "pii-candidates")
     known.unpersist()
     entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("m")).where(F.col("m") >= support)
-    pairs = rows.where("size(entities) > 0").select("entities", F.explode("terms").alias("term")).join(seen, "term")
+    entity = materialize(entity, "pii-often")
+    often, maybe = (bitmap(x, max_log2) for x in (entity.select(F.col("entity").alias("key")), seen.select(F.col("term").alias("key"))))
+    pairs = _pruned(rows, often, maybe).select("entities", F.explode("terms").alias("term")).join(seen, "term")
     both = pairs.select("term", "n", F.explode("entities").alias("entity")).groupBy("term", "n", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     both = both.join(entity, "entity")
     information = F.log(F.lit(float(max(total, 1))) / F.col("m"))
     pmi = F.log(F.lit(float(total)) * F.col("both") / (F.col("n") * F.col("m")))
     share = F.when(information > 0, pmi / information).otherwise(0.0)
     out = both.select("term", share.alias("d")).groupBy("term").agg(F.max("d").alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return materialize(out.select("term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "pii-revealing")
+    out = materialize(out.select("term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "pii-revealing")
+    for x in (rows, with_any, seen, entity):
+        discard(x)
+    return out
 
 
 def _chunks(terms: DataFrame, n: int):
@@ -219,7 +241,7 @@ def spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOV
         def run(batches, shared=shared, text_out=text_out):
             known, removed = shared.value
             for b in small(batches):
-                texts, old, found = b.column(1).to_pylist(), b.column(2).to_pylist(), []
+                texts, old, found = utf8(b.column(1).to_pylist()), b.column(2).to_pylist(), []
                 for lo, hi in groups_of(texts):
                     hits = term_places(texts[lo:hi], known, removed)
                     for j in range(lo, hi):
@@ -230,7 +252,7 @@ def spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOV
                         if j - lo in hits:
                             base = sorted(base + outside(hits[j - lo], base), key=lambda x: (x[0], ORDER[x[1]]))
                         found.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                cols = {"doc_id": b.column(0), **({"text": b.column(1)} if text_out else {}), "spans": pa.array(found, kind)}
+                cols = {"doc_id": b.column(0), **({"text": pa.array(texts, pa.binary())} if text_out else {}), "spans": pa.array(found, kind)}
                 yield pa.RecordBatch.from_pydict(cols)
 
         if i:
@@ -265,8 +287,15 @@ def outside(places: list[tuple[int, str, int]], taken: list[tuple[int, str, int]
     return [x for x in places if not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[0]]
 
 
+def coarser(term: str) -> str:
+    """The class that stands for a generalised term."""
+    if any(c.isdigit() for c in term):
+        return "[NUMBER]" if term.isdigit() else "[CODE]"
+    return "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """``(doc_id, clean_text, spans)``: patterns become ``[KIND]``, terms ``[WORD]`` or nothing."""
+    """``(doc_id, clean_text, spans)``: patterns become ``[KIND]``, terms their class or nothing."""
 
     def run(batches):
         for b in small(batches):
@@ -277,7 +306,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
                     if x["start"] < at:
                         at = max(at, x["end"])
                         continue
-                    parts += [text[at : x["start"]], "" if x["kind"] == "remove" else "[WORD]" if x["kind"] == "generalise" else f"[{x['kind'].upper()}]"]
+                    parts += [text[at : x["start"]], "" if x["kind"] == "remove" else coarser(text[x["start"] : x["end"]]) if x["kind"] == "generalise" else f"[{x['kind'].upper()}]"]
                     at = x["end"]
                 out.append("".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], names=["doc_id", "clean_text", "spans"])
@@ -293,12 +322,3 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, int, str]:
-    """The base by plain regular expressions, for tests."""
-    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", CARD.pattern, PHONE.pattern)
-    ok = (lambda x: True, lambda x: all(int(p) <= 255 for p in x.split(".")), lambda x: 12 <= len(d := re.sub("[^0-9]", "", x)) <= 19 and luhn(d), lambda x: 9 <= len(re.sub("[^0-9]", "", x)) <= 15)
-    found = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, text or "") if ok[k](m.group()))
-    told = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
-    return (*(sum(x[1] == k for x in found) for k in range(4)), hashlib.sha256(told.encode()).hexdigest())
