@@ -9,7 +9,13 @@ that runs again makes the same records.
 Defined cases: a null block is an empty one, and one without an HTTP head is all payload; a
 null target URI or date leaves that header out; other records than responses give
 nothing; repeated responses give repeated derivatives; broken HTML never fails: what is not
-a tag is text, an unclosed tag, comment or script ends with the text. Other columns are ignored.
+a tag is text, an unclosed tag, comment or script ends with the text. A charset that Python cannot decode
+text by is read as UTF-8 with replacement characters. A header that stands more than once in a record keeps
+all its values, one a line; in an HTTP head they are joined by commas. Other columns are ignored.
+
+Reading never fails on one record: what cannot be read becomes a row of type ``problem`` whose headers tell
+``Problem`` and ``Offset`` (in the uncompressed stream), and reading goes on at the next record, or ends where a
+compressed member is cut off. A file is one binary value, so files must stay below 2 GB.
 """
 
 from __future__ import annotations
@@ -20,7 +26,9 @@ import hashlib
 import html
 import io
 import json
+import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +41,8 @@ CRLF = b"\r\n"
 KEPT = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type")
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
 SKIPPED = ("script", "style", "noscript", "template")
+#: Bytes of blocks that one batch of records should hold.
+BATCH_BYTES = 8 << 20
 RECORD = "record_id string, type string, headers map<string,string>, block binary"
 
 
@@ -50,8 +60,18 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     if not sep or not head.startswith(b"HTTP/"):
         return "", {}, block
     first, *lines = head.decode("latin-1").split("\r\n")
-    pairs = (x.partition(":") for x in lines)
-    return first, {k.strip(): v.strip() for k, _, v in pairs if k.strip()}, payload
+    return first, _collected((x.partition(":") for x in lines), ", "), payload
+
+
+def _collected(pairs, sep: str) -> dict[str, str]:
+    """Header fields by name; the values of a repeated name (in any case) are joined by ``sep``."""
+    out: dict[str, str] = {}
+    named: dict[str, str] = {}
+    for k, _, v in pairs:
+        if k := k.strip():
+            k = named.setdefault(k.lower(), k)
+            out[k] = f"{out[k]}{sep}{v.strip()}" if k in out else v.strip()
+    return out
 
 
 def extract(page: str) -> tuple[str, str, list[tuple[str, str]]]:
@@ -122,25 +142,25 @@ def attribute(tag: str, name: str) -> str | None:
     return None
 
 
-def charset(headers: dict[str, str]) -> str:
+def decoded(payload: bytes, headers: dict[str, str]) -> str:
+    """A payload's text by the charset of its headers; UTF-8 where there is none, or none that decodes text."""
     kind = next((v for k, v in headers.items() if k.lower() == "content-type"), "")
-    name = kind.lower().partition("charset=")[2].split(";")[0].strip(" \"'")
+    name = kind.lower().partition("charset=")[2].split(";")[0].split(",")[0].strip(" \"'")
     try:
-        "".encode(name or "utf-8")
-        return name or "utf-8"
-    except LookupError:
-        return "utf-8"
+        return payload.decode(name or "utf-8", errors="replace")
+    except (LookupError, ValueError):  # unknown, no text encoding, or one that refuses these bytes
+        return payload.decode("utf-8", errors="replace")
 
 
 def derive(rid: str, headers: dict[str, str], block: bytes) -> list[tuple[str, str, dict[str, str], bytes]]:
     """The metadata and the conversion record of one response."""
     status, http, payload = split_http(block)
-    title, text, links = extract(payload.decode(charset(http), errors="replace"))
+    title, text, links = extract(decoded(payload, http))
     source = {k: v for k, v in headers.items() if v is not None}
     own = {"payload": source.get("WARC-Payload-Digest") or digest(payload), "block": source.get("WARC-Block-Digest") or digest(block)}
     ids = {kind: record_id(kind, rid) for kind in ("metadata", "conversion")}
     body = {"refers-to": rid, "source-headers": source, "source-digests": own, "http-status": status, "http-headers": http, "title": title, "links": [{"url": u, "text": t} for u, t in links], "conversion": ids["conversion"]}
-    bodies = {"metadata": ("application/json", json.dumps(body, ensure_ascii=False, sort_keys=True).encode()), "conversion": ("text/plain; charset=utf-8", text.encode())}
+    bodies = {"metadata": ("application/json", json.dumps(body, ensure_ascii=False, sort_keys=True).encode(errors="replace")), "conversion": ("text/plain; charset=utf-8", text.encode(errors="replace"))}
     out = []
     for kind, (mime, data) in bodies.items():
         head = {"WARC-Type": kind, "WARC-Record-ID": ids[kind], "WARC-Refers-To": rid}
@@ -153,25 +173,58 @@ def derive(rid: str, headers: dict[str, str], block: bytes) -> list[tuple[str, s
 
 def serialise(headers: dict[str, str], block: bytes, compress: bool = False) -> bytes:
     """One record as bytes; compressed, one gzip member with a fixed time."""
-    clean = {k: " ".join(str(v).split("\r\n")).replace("\n", " ").replace("\r", " ") for k, v in headers.items()}
-    out = CRLF.join([b"WARC/1.0", *(f"{k}: {v}".encode() for k, v in clean.items()), b"", block]) + CRLF + CRLF
+    lines = [f"{k}: {' '.join(v.split(chr(13)))}".encode() for k, all_of in headers.items() for v in str(all_of).split("\n")]
+    out = CRLF.join([b"WARC/1.0", *lines, b"", block]) + CRLF + CRLF
     return gzip.compress(out, mtime=0) if compress else out
 
 
+class _Counted:
+    """A stream that knows how far it was read; a broken gzip member ends it and is remembered."""
+
+    def __init__(self, data: bytes):
+        self.of = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+        self.at, self.problem = 0, None
+
+    def _read(self, fn, *args) -> bytes:
+        try:
+            got = fn(*args) if self.problem is None else b""
+        except (OSError, EOFError, zlib.error) as e:
+            self.problem, got = f"{type(e).__name__}: {e}", b""
+        self.at += len(got)
+        return got
+
+    def line(self) -> bytes:
+        return self._read(self.of.readline)
+
+    def take(self, n: int) -> bytes:
+        return self._read(self.of.read, n)
+
+
+def _problem(what: str, offset: int) -> tuple[dict[str, str], bytes]:
+    return {"WARC-Type": "problem", "Problem": what, "Offset": str(offset)}, b""
+
+
 def parse(data: bytes):
-    """(headers, block) of every record of a WARC file, plain or gzip by member."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while True:
-        line = stream.readline()
-        if not line:
-            return
+    """(headers, block) of every record of a WARC file, plain or gzip by member; see the module for what is broken."""
+    stream = _Counted(data)
+    while line := stream.line():
         if not line.startswith(b"WARC/"):
             continue
-        headers: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"", b"\n", CRLF):
-            k, _, v = line.decode("utf-8", errors="replace").partition(":")
-            headers[k.strip()] = v.strip()
-        yield headers, stream.read(int(headers.get("Content-Length") or 0))
+        start, lines = stream.at - len(line), []
+        while (line := stream.line()) not in (b"", b"\n", CRLF):
+            lines.append(line.decode("utf-8", errors="replace").partition(":"))
+        headers = _collected(lines, "\n")
+        length = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+        if not re.fullmatch("[0-9]{1,18}", length):
+            yield _problem(f"Content-Length: {length[:100]}", start)
+            continue
+        block = stream.take(int(length))
+        if len(block) < int(length):
+            yield _problem(f"{len(block)} of {length} bytes", start)
+        else:
+            yield headers, block
+    if stream.problem:
+        yield _problem(stream.problem, stream.at)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -185,8 +238,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column(0):
+                rows, size = [], 0
                 for headers, block in parse(data.as_py()):
-                    yield _records([(headers.get("WARC-Record-ID"), headers.get("WARC-Type"), headers, block)])
+                    rows.append((headers.get("WARC-Record-ID"), headers.get("WARC-Type"), headers, block))
+                    size += len(block)
+                    if len(rows) >= 1000 or size >= BATCH_BYTES:
+                        yield _records(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _records(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
