@@ -1,14 +1,17 @@
 """License scan by an exact set-similarity join of templates with text blocks.
 
-A block is a window of words; its width is twice the next power of two above a template's
-length, its step half of that, so every run as long as the template lies in one block. A block
+A block is a window of words; its width is twice the next power of two that is no less than a
+template's length, its step half of that, so every run as long as the template lies in one block. A block
 matches a template when it holds at least ``threshold`` of the template's distinct words.
 
 Words are put in one global order, rarest in the corpus first (document counts over all
 documents). A template can only match a block that holds one of its first
 ``size - needed + 1`` words (prefix filter); blocks with too few template words are passed over
 (length filter), and so are pairs whose remaining words cannot reach the needed
-overlap (positional filter). What is left is counted exactly.
+overlap (positional filter). What is left is counted exactly. A set knows no order, so a matching block
+also tells whether it holds the notice itself (``ordered``): a run of at most the template's length over
+``threshold`` words that contains ``threshold`` of the template's words in the template's order. Labels and
+score come from ordered blocks.
 
 Next to it stand fixed phrases, found wherever their words are consecutive.
 
@@ -20,8 +23,8 @@ a set. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +61,43 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return raw.translate(ALNUM_LOWER).split()
 
 
+class Order:
+    """A template's words in order, as one bit mask for each word."""
+
+    def __init__(self, words: list[int], threshold: float):
+        self.need, self.full = max(1, math.ceil(threshold * len(words) - 1e-9)), (1 << len(words)) - 1
+        self.width = math.ceil(len(words) / threshold)
+        self.first = frozenset(words[: len(words) - self.need + 1])  # a run that holds enough can begin at one of these
+        self.masks: dict[int, int] = {}
+        for i, w in enumerate(words):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+
+    def within(self, at: list[int], ranks: list[int]) -> bool:
+        """Whether a run of words holds enough of the template in order; ``at`` are the places of the template words.
+
+        The longest common subsequence by the bit-parallel method of Allison and Dix (a sum per word).
+        """
+        for i, r in enumerate(ranks):
+            if r not in self.first:
+                continue
+            v, end = self.full, at[i] + self.width
+            for j in range(i, len(at)):
+                if at[j] >= end:
+                    break
+                u = v & self.masks.get(ranks[j], 0)
+                v = ((v + u) | (v - u)) & self.full
+            if (self.full & ~v).bit_count() >= self.need:
+                return True
+        return False
+
+
 class Matcher:
     """Templates in the global word order, with a prefix index for each block width."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         vocabulary = {w for _, t in templates for w in words_of(t)}
         self.rank = {w: r for r, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates = []
+        self.templates, self.orders = [], []
         self.by_step: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for label, text in templates:
             words = words_of(text)
@@ -72,10 +105,11 @@ class Matcher:
             if not order:
                 continue
             need = max(1, math.ceil(threshold * len(order) - 1e-9))
-            step = max(16, 1 << (len(words) - 1).bit_length())
+            step = 1 << (len(words) - 1).bit_length()
             for i in range(len(order) - need + 1):
                 self.by_step.setdefault(step, {}).setdefault(order[i], []).append((len(self.templates), i))
             self.templates.append((label, frozenset(order), need))
+            self.orders.append(Order([self.rank[w] for w in words], threshold))
         self.prefix = {w for w, r in self.rank.items() if any(r in x for x in self.by_step.values())}
         self.least = min((need for _, _, need in self.templates), default=0)
 
@@ -95,8 +129,8 @@ class Matcher:
                     found.append((k, share / len(words)))
         return found
 
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, block start, block end, containment) of every matching block."""
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, int, float, bool]]:
+        """(template, block start, block end, containment, ordered) of every matching block."""
         if not self.prefix.intersection(words):
             return []
         rank, at, ranks = self.rank, [], []
@@ -106,18 +140,15 @@ class Matcher:
                 at.append(i)
                 ranks.append(r)
         out = []
-        at_np = np.array(at)
         for step, index in self.by_step.items():
-            starts = {0}
+            starts = set()
             for i, r in zip(at, ranks, strict=True):  # only blocks that hold a prefix word
                 if r in index:
                     starts.update((i // step * step, max(0, i // step * step - step)))
             for s in sorted(starts):
-                lo, hi = np.searchsorted(at_np, (s, s + 2 * step))
-                if hi - lo < 1:
-                    continue
+                lo, hi = bisect_left(at, s), bisect_left(at, s + 2 * step)
                 for k, share in self.block(step, sorted(set(ranks[lo:hi]))):
-                    out.append((k, s, min(len(words), s + 2 * step), share))
+                    out.append((k, s, min(len(words), s + 2 * step), share, self.orders[k].within(at[lo:hi], ranks[lo:hi])))
         return out
 
 
@@ -138,17 +169,19 @@ def frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str) -> dict
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
-    """(start, label) of every place where a fixed phrase stands."""
+    """(start, label) of every place where a fixed phrase stands, in one pass over the text for each phrase."""
     text, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES.items():
-        needle, at = f" {phrase} ".encode(), -1
+        needle, at, counted, number = f" {phrase} ".encode(), -1, 0, 0
         while (at := text.find(needle, at + 1)) >= 0:
-            out.append((text.count(b" ", 0, at), label))
+            number += text.count(b" ", counted, at)
+            counted = at
+            out.append((number, label))
     return sorted(out)
 
 
 def scans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, places array<struct<start, label>>, blocks array<struct<template, start, end, containment>>)``.
+    """``(doc_id, n_words, places array<struct<start, label>>, blocks array<struct<template, start, end, containment, ordered>>)``.
 
     Every row of ``docs`` is there; positions are word numbers from 0.
     """
@@ -158,7 +191,7 @@ def scans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     matcher = Matcher(templates, frequencies(docs, vocabulary, text_col), threshold)
     shared = docs.sparkSession.sparkContext.broadcast(matcher)
     place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
-    block = pa.list_(pa.struct([("template", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
+    block = pa.list_(pa.struct([("template", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64()), ("ordered", pa.bool_())]))
 
     def run(batches):
         for b in small(batches):
@@ -167,11 +200,11 @@ def scans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
                 words = words_of(t)
                 n.append(len(words))
                 places.append([{"start": s, "label": x} for s, x in base_places(words)])
-                blocks.append([{"template": k, "start": s, "end": e, "containment": x} for k, s, e, x in shared.value.scan(words)])
+                blocks.append([{"template": k, "start": s, "end": e, "containment": x, "ordered": o} for k, s, e, x, o in shared.value.scan(words)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(places, place), pa.array(blocks, block)], names=["doc_id", "n_words", "places", "blocks"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, places array<struct<start:bigint,label:string>>, blocks array<struct<template:bigint,start:bigint,end:bigint,containment:double>>")
+    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, places array<struct<start:bigint,label:string>>, blocks array<struct<template:bigint,start:bigint,end:bigint,containment:double,ordered:boolean>>")
 
 
 def digest(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, **options) -> DataFrame:
@@ -179,12 +212,13 @@ def digest(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, **opti
     out = scans(docs, templates, **options)
     names = F.split(F.lit(",".join(x for x, _ in [t for t in templates if words_of(t[1])])), ",")
     base = F.transform("places", lambda p: p["label"])
-    own = F.transform("blocks", lambda b: F.element_at(names, (b["template"] + 1).cast("int")))
+    sure = F.filter("blocks", lambda b: b["ordered"])
+    own = F.transform(sure, lambda b: F.element_at(names, (b["template"] + 1).cast("int")))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     starts = F.transform("places", lambda p: p["start"])
     return out.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"),
-        F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform(sure, lambda b: b["containment"])), F.lit(0.0)).alias("score"),
     )

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 
 from docledger.llm import licenses as lic
 
@@ -37,14 +39,28 @@ def plain(matcher_templates, threshold, text):
     w, out = words(text), set()
     for k, (_, t) in enumerate(matcher_templates):
         need, size = set(words(t)), len(words(t))
-        step = max(16, 1 << (size - 1).bit_length())
+        step = 1 << (size - 1).bit_length()
         for s in range(0, max(1, len(w)), step):
-            share = len(need & set(w[s : s + 2 * step])) / len(need)
+            block = w[s : s + 2 * step]
+            share = len(need & set(block)) / len(need)
             if share >= threshold - 1e-12 and (s == 0 or s < len(w)):
-                out.add((k, s, round(share, 12)))
+                run = math.ceil(size / threshold)
+                ordered = any(common(words(t), block[i : i + run]) >= threshold * size - 1e-9 for i in range(len(block)))
+                out.add((k, s, round(share, 12), ordered))
     return out
 
 
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1]
+
+
 def test_join_finds_every_block(spark):
     rnd = random.Random(9)
     templates = lic.TEMPLATES + [("own", prose(rnd, 40)), ("own2", prose(rnd, 9))]
@@ -59,7 +75,7 @@ def test_join_finds_every_block(spark):
         rows.append((i, "\n".join(parts)))
     df = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id bigint, text string")
     for threshold in (0.6, 0.9):
-        got = {r.doc_id: {(b.template, b.start, round(b.containment, 12)) for b in r.blocks} for r in lic.scans(df, templates, threshold).collect()}
+        got = {r.doc_id: {(b.template, b.start, round(b.containment, 12), b.ordered) for b in r.blocks} for r in lic.scans(df, templates, threshold).collect()}
         for i, t in rows:
             assert got[i] == plain(templates, threshold, t)
         assert got[500] == got[501] == set()
@@ -69,3 +85,19 @@ def test_notices_get_their_labels(spark):
     rows = [(i, f"some words before\n{t}\nand after") for i, (_, t) in enumerate(lic.TEMPLATES)]
     got = {r.doc_id: r.labels.split(",") for r in lic.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(label in got[i] for i, (label, _) in enumerate(lic.TEMPLATES))
+
+
+def test_words_without_order_are_no_notice(spark):
+    rows = [(0, "rights of all the people are reserved"), (1, "no license: all rights reserved"), (2, "Released to us under the strict MIT style License")]
+    got = {r.doc_id: r for r in lic.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0].labels == "" and got[0].score == 0
+    assert got[1].labels == "reserved" and got[1].score == 1
+    assert got[2].labels == ""
+
+
+def test_many_places_take_linear_time():
+    text = b"all rights reserved " * 100_000
+    began = time.perf_counter()
+    places = lic.base_places(text.split())
+    assert [s for s, _ in places] == list(range(0, 300_000, 3))
+    assert time.perf_counter() - began < 5
