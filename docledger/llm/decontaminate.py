@@ -8,8 +8,8 @@ item: each occurrence of an item lies whole in a passage. What is retrieved is
 verified on words: enough of the question's and of the answer's shingles must occur in the passage.
 
 An item's question and answer are columns of their own, or else its last sentence is
-the answer. Items are indexed in shards of a stated size; one shard's index is broadcast
-at a time and all documents query each, so no item is left out.
+the answer. Items are indexed in shards of a stated size; a stated number of shards is broadcast
+at a time and each document queries all of them in one scan, so no item is left out.
 
 Defined cases: null or empty texts match nothing; items without words are never
 matched; a part shorter than a shingle counts as one shingle; an empty question or answer is
@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm._columns import map_rows
 from docledger.llm._text import ALNUM_LOWER, groups_of, small, word_hashes
+from docledger.plans.storage import discard, materialize
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 total from which it is retrieved; shingle size and overlap to confirm.
@@ -36,6 +38,8 @@ RETRIEVE, SHINGLE, OVERLAP = 0.65, 5, 0.8
 CHUNK, BLOCK, SUPER = 64, 4, 64
 #: Items in one broadcast index.
 MAX_ITEMS = 20_000
+#: Indexes that one scan of the documents queries.
+PER_SCAN = 4
 NEVER = 1 << 60
 
 
@@ -243,29 +247,42 @@ def indexes(items: DataFrame, max_items: int = MAX_ITEMS, shingle: int = SHINGLE
 
     words = items.select("item", "q", "a").mapInArrow(stats, "w binary, len bigint, one bigint")
     total = words.agg(F.sum("len"), F.sum("one")).first()
-    counted = words.groupBy("w").agg(F.count("*").alias("df"))
+    counted = materialize(words.groupBy("w").agg(F.count("*").alias("df")), "benchmark-words")
     for s in range(shards):
         rows = parts(items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == s).collect())
         own = sorted({w for _, q, a in rows for w in words_of(q) + words_of(a)})
         wanted = items.sparkSession.createDataFrame([(bytearray(w),) for w in own], "w binary")
         df = {bytes(r.w): r.df for r in counted.join(wanted, "w", "left_semi").collect()}
         yield Index(rows, total[1], total[0] / total[1], df, shingle)
+    discard(counted)
+
+
+def _scans(items: DataFrame, max_items: int, shingle: int):
+    """The indexes, broadcast, in groups for one scan each."""
+    group, sc = [], items.sparkSession.sparkContext
+    for index in indexes(items, max_items, shingle):
+        group.append(sc.broadcast(index))
+        if len(group) == PER_SCAN:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, shingle: int = SHINGLE, max_items: int = MAX_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` of every confirmed match."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     out = None
-    for index in indexes(items, max_items, shingle):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in _scans(items, max_items, shingle):
 
-        def run(batches, shared=shared):
-            index, kind = shared.value, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        def run(batches, group=group):
+            known, kind = [x.value for x in group], [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             for b in small(batches):
                 ids, texts, found = b.column(0).to_pylist(), b.column(1).to_pylist(), []
                 for lo, hi in groups_of(texts):
-                    for i, hits in enumerate(index.matches(texts[lo:hi], retrieve, overlap)):
-                        found += [(ids[lo + i], index.ids[k], *x) for k, x in hits.items()]
+                    for index in known:
+                        for i, hits in enumerate(index.matches(texts[lo:hi], retrieve, overlap)):
+                            found += [(ids[lo + i], index.ids[k], *x) for k, x in hits.items()]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -277,15 +294,16 @@ def contaminated(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE,
 def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, shingle: int = SHINGLE, max_items: int = MAX_ITEMS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no item, all columns kept, without a shuffle."""
     at = docs.columns.index(text_col)
-    for index in indexes(items, max_items, shingle):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in _scans(items, max_items, shingle):
 
-        def run(batches, shared=shared):
+        def run(batches, group=group):
+            known = [x.value for x in group]
             for b in small(batches):
                 texts, keep = b.column(at).cast(pa.binary()).to_pylist(), []
                 for lo, hi in groups_of(texts):
-                    keep += [not hits for hits in shared.value.matches(texts[lo:hi], retrieve, overlap)]
+                    found = [index.matches(texts[lo:hi], retrieve, overlap) for index in known]
+                    keep += [not any(hits) for hits in zip(*found, strict=True)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs
