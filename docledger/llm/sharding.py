@@ -8,7 +8,8 @@ the data, so broadcasting it is bounded; a row's slot comes from the hash of its
 doc_id, and one array access gives the shard.
 
 Defined cases: a null doc_id hashes as an empty string; repeated rows go to one shard; other
-columns pass through unchanged, whatever their names; an empty table stays empty.
+columns pass through unchanged, whatever their names, and an added column whose name the input has
+already gets underscores appended until it is free; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm._columns import free, own
+
 SLOTS, SHARDS = 2039, 16
 MAX_SLOTS = 1 << 20
 
@@ -52,12 +55,14 @@ def slot_of(key: Column, slots: int) -> Column:
 def sharded(docs: DataFrame, shards: int | list[str] = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """The rows of ``docs`` plus their slot and shard (both long). No shuffle."""
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else shards
-    table = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, lookup_table(names, slots)))), ",")).alias("__slot", "__shard"))
-    table = table.select(F.col("__slot").cast("bigint").alias("__slot"), F.col("__shard").cast("bigint").alias("__shard"))
-    keyed = docs.withColumn("__of", slot_of(F.col(id_col).cast("bigint"), slots))
-    names_out = [F.col(f"`{c}`") for c in docs.columns]
-    joined = keyed.join(F.broadcast(table), F.col("__of") == F.col("__slot"))
-    return joined.select(*names_out, F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+    of = free("of", docs.columns)
+    slot = free(slot_col, [*docs.columns, of])
+    shard = free(shard_col, [*docs.columns, of, slot])
+    table = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, lookup_table(names, slots)))), ",")).alias(slot, shard))
+    table = table.select(own(slot).cast("bigint").alias(slot), own(shard).cast("bigint").alias(shard))
+    keyed = docs.select(*[own(c) for c in docs.columns], slot_of(own(id_col).cast("bigint"), slots).alias(of))
+    joined = keyed.join(F.broadcast(table), own(of) == own(slot))
+    return joined.select(*[own(c) for c in docs.columns], own(slot), own(shard))
 
 
 ORACLE = f"""

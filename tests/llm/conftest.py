@@ -39,5 +39,6 @@ def none(spark):
 @pytest.fixture(scope="session")
 def odd(spark):
     """Extra columns with names the operators use themselves."""
-    rows = [(i, prose(random.Random(i), 30), "en", "s", 1, 1, 2, "x", 3.0, True, 4, 5) for i in range(6)]
-    return spark.createDataFrame(rows, DOCS + ", fp bigint, component_id bigint, words string, u double, copy boolean, id bigint, k int")
+    rows = [(i, prose(random.Random(i), 30), "en", "s", 1, 1, 2, "x", 3.0, True, 4, 5, *"abcdefgh", "quoted") for i in range(6)]
+    more = ", key string, mix_key string, Slot string, shard string, of string, gone string, __gone string, `row` string, `a``b.c` string"
+    return spark.createDataFrame(rows, DOCS + ", fp bigint, component_id bigint, words string, u double, copy boolean, id bigint, k int" + more)
