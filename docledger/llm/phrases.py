@@ -5,7 +5,7 @@ whose word sequence also starts earlier (smaller doc_id, or the same document an
 earlier start) is removed; windows are judged on the input.
 
 0. A row whose whole text occurs at a smaller doc_id needs no search: all its windows
-   recur. Such copies are set aside, so a text in a third of all rows is searched once.
+   recur. Such copies are set aside by SHA-256, so a text in a third of all rows is searched once.
 1. Seeds. The smallest hash among the short grams inside a window is a function of the
    window's words, so equal windows share their seed. Seeds at one place in the corpus only
    cannot belong to a recurring window. Counts are summed per batch before the shuffle.
@@ -13,16 +13,20 @@ earlier start) is removed; windows are judged on the input.
    kept as a bitmap of a size that follows the count up to a stated bound. Bitmaps and hashes only
    let too much through, never too little.
 3. Passages: runs of recurring windows with one seed, with every place they start at.
-   Equal passages collapse in a partial aggregate to their first place, so a passage in a
-   third of all documents is one row; only first places ship their text.
-4. Passages are dealt to shards by seed. Each shard compiles an Aho-Corasick automaton
+   Passages of the same words (by a 128-bit hash) collapse in a partial aggregate to their first place, so
+   a passage in a third of all documents is one row; only first places ship their text.
+4. Distinct passages are dealt to shards by seed. Each shard compiles an Aho-Corasick automaton
    of its windows (one symbol per word) and streams its passages through it, which
-   gives the true first place of every window and confirms repeats on words, not hashes.
+   gives the true first place of every window and confirms repeats on words. What holds for a passage
+   holds wherever its words stand, so other places need no second pass through the automaton.
+   A seed with more distinct text than a shard should hold is split: its windows are passages of their own
+   and are dealt by their words.
 5. The removed ranges go back to the documents by doc_id.
 
 Defined cases: a null text has no words; repeated rows and rows sharing a doc_id are
 one document and are treated alike; a null doc_id comes after all others. Documents
-shorter than a window keep everything. Other columns are ignored.
+shorter than a window keep everything; a text may have up to 2^28 words, more than a row can hold. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,12 +74,14 @@ class Windows:
         self.place = (low[:n] & np.uint64(PLACE)).astype(np.int64)
         self.seed = g[self.place]
 
-    def runs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First window and length of each run of chosen windows with one seed place in one text."""
+    def runs(self, chosen: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First window and length of each run of chosen windows with one seed place in one text; windows in ``single`` stay alone."""
         i = np.flatnonzero(chosen)
         if not len(i):
             return i, i
         new = np.concatenate(([True], (np.diff(i) != 1) | (np.diff(self.place[i]) != 0) | (np.diff(self.own[i]) != 0)))
+        if single is not None:
+            new |= single[i]  # a seed is split or not, so what follows such a window has another seed
         at = np.flatnonzero(new)
         return i[at], np.diff(np.append(at, len(i)))
 
@@ -121,10 +127,12 @@ def recurring(docs: DataFrame, width: int, gram: int, max_log2: int) -> tuple[np
     return out
 
 
-def _places(docs: DataFrame, known, width: int, gram: int, chosen=None) -> DataFrame:
-    """``(seed, seg, doc, start, n)`` of every place of every recurring passage; n counts windows.
+def _places(docs: DataFrame, known, width: int, gram: int, split=None, only_split: bool = False, chosen=None) -> DataFrame:
+    """``(seed, seg, seg2, doc, start, n)`` of every place of every recurring passage; n counts windows.
 
-    With ``chosen``, a bitmap over ``place_key``, only those places, and with their text.
+    ``seg, seg2`` is the 128-bit hash of the words. Seeds in the bitmap ``split`` have passages of one window, and
+    with ``only_split`` there are no others. With ``chosen``, a bitmap over ``place_key``, only those places, with
+    their text and ``deal``, by which they are dealt to shards.
     """
     import xxhash
 
@@ -133,28 +141,33 @@ def _places(docs: DataFrame, known, width: int, gram: int, chosen=None) -> DataF
             ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for lo, hi in groups_of(texts):
                 w = Windows(texts[lo:hi], width, gram)
-                at, n = w.runs(w.valid & member(*known.value, gram_hashes(w.h, width)))
+                wanted, single = w.valid & member(*known.value, gram_hashes(w.h, width)), None
+                if split:
+                    single = member(*split.value, w.seed)
+                    wanted &= single | (not only_split)
+                at, n = w.runs(wanted, single)
                 own, start, seed = w.own[at], at - w.word0[w.own[at]], w.seed[at].view(np.int64)
                 blob, s, e = w.blob, w.starts[at].tolist(), w.ends[at + n + width - 2].tolist()
                 body = [b" ".join(blob[x:y].split()) for x, y in zip(s, e, strict=True)]
-                seg = np.array([xxhash.xxh64_intdigest(t) for t in body], dtype=np.uint64).view(np.int64)
-                cols = [seed, seg, ids[lo + own], start, n]
+                seg = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in body]), dtype="<i8").reshape(-1, 2)
+                cols = [seed, seg[:, 0], seg[:, 1], ids[lo + own], start, n]
                 if chosen is None:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=NAMES)
                 else:
-                    m = np.flatnonzero(member(*chosen.value, place_key(*cols[:4])))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[m]) for c in cols), pa.array([body[i] for i in m], pa.binary())], names=[*NAMES, "text"])
+                    m = np.flatnonzero(member(*chosen.value, place_key(*cols[1:5])))
+                    deal = np.where(single[at], cols[1], seed) if split else seed
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[m]) for c in cols), pa.array(deal[m]), pa.array([body[i] for i in m], pa.binary())], names=[*NAMES, "deal", "text"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES) + (", text binary" if chosen else ""))
+    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in NAMES) + (", deal bigint, text binary" if chosen else ""))
 
 
-NAMES = ["seed", "seg", "doc", "start", "n"]
+NAMES = ["seed", "seg", "seg2", "doc", "start", "n"]
 
 
-def place_key(seed: np.ndarray, seg: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(seed), dtype=np.uint64)
+def place_key(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for c in (seed, seg, doc, start):
+        for c in columns:
             out = mix(out * np.uint64(3) + c.astype(np.int64).view(np.uint64))
     return out
 
@@ -164,16 +177,45 @@ def _place_keys(firsts: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place_key(*(c.to_numpy() for c in b.columns)).view(np.int64))], names=["key"])
 
-    return firsts.select("seed", "seg", "doc", "start").mapInArrow(run, "key bigint")
+    return firsts.select("seg", "seg2", "doc", "start").mapInArrow(run, "key bigint")
+
+
+def _firsts(at: DataFrame) -> DataFrame:
+    """Stored: each distinct passage with its first place."""
+    first = at.groupBy("seg", "seg2").agg(F.min(F.struct("doc", "start")).alias("rep"), F.max("n").alias("n"), F.min("seed").alias("seed"))
+    return materialize(first.select("seed", "seg", "seg2", "rep.doc", "rep.start", "n"), "phrase-firsts")
+
+
+def _without(at: DataFrame, split) -> DataFrame:
+    """The places whose seed is not in the bitmap."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(~member(*split.value, b.column(0).to_numpy().view(np.uint64))))
+
+    return at.mapInArrow(run, at.schema)
+
+
+#: Characters there are for symbols: the code points but for zero and the surrogates.
+SYMBOLS = 0x110000 - 0x800 - 1
 
 
 class Symbols(dict):
-    """A character for each word, given out as words come; surrogates are left out."""
+    """A symbol for each word, given out as words come: one character, or ``parts`` of them where words are more."""
+
+    def __init__(self, words: int, limit: int = SYMBOLS):
+        super().__init__()
+        self.limit, self.parts = limit, 1
+        while limit**self.parts <= words:
+            self.parts += 1
 
     def __missing__(self, word: bytes) -> str:
-        n = len(self) + 1
-        c = self[word] = chr(n if n < 0xD800 else n + 0x800)
-        return c
+        n, out = len(self), []
+        for _ in range(self.parts):
+            n, c = divmod(n, self.limit)
+            out.append(chr(c + 1 if c + 1 < 0xD800 else c + 0x801))
+        self[word] = "".join(out)
+        return self[word]
 
 
 def repeated_windows(texts: list[bytes], width: int) -> list[tuple[int, list[int]]]:
@@ -188,7 +230,7 @@ def repeated_windows(texts: list[bytes], width: int) -> list[tuple[int, list[int
     return [(int(k), x.tolist()) for k, x in zip(own[np.concatenate(([0], cut))] if len(own) else own, starts, strict=False)]
 
 
-def confirm_shard(width: int):
+def confirm_shard(width: int, limit: int = SYMBOLS):
     """For one shard: the window ranges of each passage's first place that recur earlier still.
 
     Passages are added from the last place to the first, so each window ends up with the
@@ -199,26 +241,31 @@ def confirm_shard(width: int):
         import ahocorasick
 
         table = table.sort_by([("doc", "ascending"), ("start", "ascending")])
-        names = np.stack([table["seed"].to_numpy(), table["seg"].to_numpy()])
+        names = np.stack([table["seg"].to_numpy(), table["seg2"].to_numpy()])
         order = np.lexsort(names)  # stable: a bitmap may let later places of a passage through
         again = order[1:][(names[:, order[1:]] == names[:, order[:-1]]).all(axis=0)]
         keep = np.ones(len(order), dtype=bool)
         keep[again] = False
         table = table.filter(pa.array(keep))
-        symbol = Symbols()
-        raw = table["text"].to_pylist()
-        texts = ["".join([symbol[w] for w in t.split()]) for t in raw]
+        raw = [t.split() for t in table["text"].to_pylist()]
+        symbol = Symbols(len(set().union(*raw)), limit)
+        texts = ["".join([symbol[w] for w in t]) for t in raw]
         auto = ahocorasick.Automaton()
-        add, own = auto.add_word, width - 1
-        for k, at in reversed(repeated_windows(raw, width)):
+        add, parts = auto.add_word, symbol.parts
+        size, own = width * parts, width - 1
+        for k, at in reversed(repeated_windows(table["text"].to_pylist(), width)):
             s, base = texts[k], k * width
             for i in at:
-                add(s[i : i + width], base + i)
+                add(s[i * parts : i * parts + size], base + i)
         auto.make_automaton()
         row, at = [], []
         for k, s in enumerate(texts):
             base = k * width - own
             for end, place in auto.iter(s) if len(auto) else ():
+                if parts > 1:
+                    if (end + 1) % parts:
+                        continue  # not at a word's end
+                    end = (end + 1) // parts - 1
                 if place != base + end:
                     row.append(k)
                     at.append(end - own)
@@ -229,30 +276,39 @@ def confirm_shard(width: int):
         cut = pa.StructArray.from_arrays([pa.array(start + at[new]), pa.array(start + at[last] + width)], names=["a", "z"])
         offsets = np.searchsorted(row[new], np.arange(len(texts) + 1), "left").astype(np.int32)
         cuts = pa.ListArray.from_arrays(pa.array(offsets), cut)
-        return pa.table({"seed": table["seed"], "seg": table["seg"], "rep_doc": table["doc"], "rep_start": table["start"], "cuts": cuts})
+        return pa.table({"seg": table["seg"], "seg2": table["seg2"], "rep_doc": table["doc"], "rep_start": table["start"], "cuts": cuts})
 
     return run
 
 
-def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 8, max_log2: int = MAX_BITS_LOG2, shard_words: int = SHARD_WORDS) -> DataFrame:
+def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 8, max_log2: int = MAX_BITS_LOG2, shard_words: int = SHARD_WORDS, symbols: int = SYMBOLS) -> DataFrame:
     """``(doc, ranges array<struct<a, z>>)``: word ranges to remove, sorted, for documents that have any."""
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(recurring(docs, width, gram, max_log2))
     at = materialize(_places(docs, known, width, gram), "phrase-places")
-    first = at.groupBy("seed", "seg").agg(F.min(F.struct("doc", "start")).alias("rep"), F.max("n").alias("n"))
-    first = materialize(first.select("seed", "seg", "rep.doc", "rep.start", "n"), "phrase-firsts")
+    first, split = _firsts(at), None
+    crowded = first.groupBy("seed").agg(F.sum(F.col("n") + width - 1).alias("words")).where(F.col("words") > shard_words)
+    crowded = materialize(crowded.select(F.col("seed").alias("key")), "phrase-crowded")
+    if not crowded.isEmpty():
+        split = sc.broadcast(bitmap(crowded, max_log2))
+        whole = at
+        at = materialize(_without(at, split).unionByName(_places(docs, known, width, gram, split, True)), "phrase-places")
+        discard(whole)
+        discard(first)
+        first = _firsts(at)
+    discard(crowded)
     release(docs.sparkSession)
     words = first.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     chosen = sc.broadcast(bitmap(_place_keys(first), max_log2))
-    parted = _places(docs, known, width, gram, chosen).withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
-    cut = parted.groupBy("shard").applyInArrow(confirm_shard(width), "seed bigint, seg bigint, rep_doc bigint, rep_start bigint, cuts array<struct<a:bigint,z:bigint>>")
+    parted = _places(docs, known, width, gram, split, chosen=chosen).drop("seed", "n").withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
+    cut = parted.drop("deal").groupBy("shard").applyInArrow(confirm_shard(width, symbols), "seg bigint, seg2 bigint, rep_doc bigint, rep_start bigint, cuts array<struct<a:bigint,z:bigint>>")
     cut = materialize(cut, "phrase-cuts")
     discard(first)
     release(docs.sparkSession)
     at_rep = (F.col("doc") == F.col("rep_doc")) & (F.col("start") == F.col("rep_start"))
     whole_range = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("z")))
-    marks = at.join(cut, ["seed", "seg"]).select("doc", F.explode(F.when(at_rep, F.col("cuts")).otherwise(whole_range)).alias("r"))
+    marks = at.join(cut, ["seg", "seg2"]).select("doc", F.explode(F.when(at_rep, F.col("cuts")).otherwise(whole_range)).alias("r"))
     marks = materialize(marks.groupBy("doc").agg(F.sort_array(F.collect_set("r")).alias("ranges")), "phrase-ranges")
     discard(at)
     discard(cut)
@@ -275,7 +331,7 @@ def kept_words(text: bytes, width: int, copy: bool, ranges) -> tuple[int, list[b
 
 def _marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with ``copy``: the same text stands at a smaller doc; the other rows)."""
-    keyed = rows.withColumn("digest", F.md5("text"))
+    keyed = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     groups = keyed.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = materialize(groups.select(F.col("digest").alias("group"), "first"), "phrase-copies")
     few = groups.count() <= BROADCAST_GROUPS
@@ -318,20 +374,3 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 def digest(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)``."""
     return _finished(docs, False, options).drop("ranges")
-
-
-def brute_force(rows: list[tuple[int, str | None]], width: int = 20) -> dict[int, tuple[int, int, str]]:
-    """The definition, for tests: doc_id -> (n_words, n_removed, kept_sha256)."""
-    seen: set = set()
-    out = {}
-    for doc, text in sorted(rows):
-        words = (text or "").encode().split()
-        cut = set()
-        for i in range(len(words) - width + 1):
-            w = tuple(words[i : i + width])
-            if w in seen:
-                cut.update(range(i, i + width))
-            seen.add(w)
-        kept = [x for i, x in enumerate(words) if i not in cut]
-        out[doc] = (len(words), len(cut), hashlib.sha256(b" ".join(kept)).hexdigest())
-    return out
