@@ -50,6 +50,8 @@ PLACE = (1 << 28) - 1
 BROADCAST_GROUPS = 500_000
 #: Words of distinct passages that one automaton should hold.
 SHARD_WORDS = 50_000
+#: A seed with more times that many words is split.
+CROWDED = 4
 
 
 class Windows:
@@ -127,28 +129,31 @@ def recurring(docs: DataFrame, width: int, gram: int, max_log2: int) -> tuple[np
     return out
 
 
-def _places(docs: DataFrame, known, width: int, gram: int, split=None, only_split: bool = False, chosen=None) -> DataFrame:
+def _places(docs: DataFrame, known, width: int, gram: int, split=None, within=None, chosen=None) -> DataFrame:
     """``(seed, seg, seg2, doc, start, n)`` of every place of every recurring passage; n counts windows.
 
-    ``seg, seg2`` is the 128-bit hash of the words. Seeds in the bitmap ``split`` have passages of one window, and
-    with ``only_split`` there are no others. With ``chosen``, a bitmap over ``place_key``, only those places, with
+    ``seg, seg2`` is the 128-bit hash of the words. Seeds in the bitmap ``split`` have passages of one window; with
+    ``within``, a bitmap of documents, only these seeds and documents count. With ``chosen``, a bitmap over ``place_key``, only those places, with
     their text and ``deal``, by which they are dealt to shards.
     """
     import xxhash
 
     def run(batches):
         for b in small(batches):
+            if within:
+                b = b.filter(pa.array(member(*within.value, place_key(b.column(0).to_numpy()))))
             ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for lo, hi in groups_of(texts):
                 w = Windows(texts[lo:hi], width, gram)
                 wanted, single = w.valid & member(*known.value, gram_hashes(w.h, width)), None
                 if split:
                     single = member(*split.value, w.seed)
-                    wanted &= single | (not only_split)
+                    wanted &= single | (within is None)
                 at, n = w.runs(wanted, single)
                 own, start, seed = w.own[at], at - w.word0[w.own[at]], w.seed[at].view(np.int64)
-                blob, s, e = w.blob, w.starts[at].tolist(), w.ends[at + n + width - 2].tolist()
-                body = [b" ".join(blob[x:y].split()) for x, y in zip(s, e, strict=True)]
+                norm, size = b" ".join(w.blob.split()), w.ends - w.starts
+                stop = np.cumsum(size + 1) - 1  # where the words end in norm
+                body = [norm[x:y] for x, y in zip((stop - size)[at].tolist(), stop[at + n + width - 2].tolist(), strict=True)]
                 seg = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in body]), dtype="<i8").reshape(-1, 2)
                 cols = [seed, seg[:, 0], seg[:, 1], ids[lo + own], start, n]
                 if chosen is None:
@@ -172,12 +177,14 @@ def place_key(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _place_keys(firsts: DataFrame) -> DataFrame:
+def _keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """``key``: ``place_key`` of the columns."""
+
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place_key(*(c.to_numpy() for c in b.columns)).view(np.int64))], names=["key"])
 
-    return firsts.select("seg", "seg2", "doc", "start").mapInArrow(run, "key bigint")
+    return rows.select(*columns).mapInArrow(run, "key bigint")
 
 
 def _firsts(at: DataFrame) -> DataFrame:
@@ -186,14 +193,26 @@ def _firsts(at: DataFrame) -> DataFrame:
     return materialize(first.select("seed", "seg", "seg2", "rep.doc", "rep.start", "n"), "phrase-firsts")
 
 
-def _without(at: DataFrame, split) -> DataFrame:
-    """The places whose seed is not in the bitmap."""
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(~member(*split.value, b.column(0).to_numpy().view(np.uint64))))
+def _split(docs: DataFrame, known, at: DataFrame, first: DataFrame, width: int, gram: int, max_log2: int, most: int):
+    """(places, their stored first places, broadcast bitmap of the split seeds or None).
 
-    return at.mapInArrow(run, at.schema)
+    A seed of over ``most`` words of distinct passages is split: its places are found again, one for each
+    window, in the documents that have it. The bitmap may let further seeds through, whose windows then stand beside
+    their passages; that changes no result.
+    """
+    sc, few = docs.sparkSession.sparkContext, lambda df: F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+    crowded = first.groupBy("seed").agg(F.sum(F.col("n") + width - 1).alias("words")).where(F.col("words") > most)
+    crowded = materialize(crowded.select("seed"), "phrase-crowded")
+    if crowded.isEmpty():
+        discard(crowded)
+        return at, first, None
+    split = sc.broadcast(bitmap(crowded.select(F.col("seed").alias("key")), max_log2))
+    touched = at.join(few(crowded), "seed", "left_semi").select("doc").distinct()
+    within = sc.broadcast(bitmap(_keys(touched, "doc"), max_log2))
+    windows = materialize(_places(docs, known, width, gram, split, within), "phrase-windows")
+    at = at.join(few(crowded), "seed", "left_anti").unionByName(windows)
+    discard(first)
+    return at, _firsts(at), split
 
 
 #: Characters there are for symbols: the code points but for zero and the surrogates.
@@ -247,13 +266,13 @@ def confirm_shard(width: int, limit: int = SYMBOLS):
         keep = np.ones(len(order), dtype=bool)
         keep[again] = False
         table = table.filter(pa.array(keep))
-        raw = [t.split() for t in table["text"].to_pylist()]
-        symbol = Symbols(len(set().union(*raw)), limit)
-        texts = ["".join([symbol[w] for w in t]) for t in raw]
+        raw = table["text"].to_pylist()
+        symbol = Symbols(sum(t.count(b" ") + 1 for t in raw), limit)
+        texts = ["".join([symbol[w] for w in t.split(b" ")]) for t in raw]
         auto = ahocorasick.Automaton()
         add, parts = auto.add_word, symbol.parts
         size, own = width * parts, width - 1
-        for k, at in reversed(repeated_windows(table["text"].to_pylist(), width)):
+        for k, at in reversed(repeated_windows(raw, width)):
             s, base = texts[k], k * width
             for i in at:
                 add(s[i * parts : i * parts + size], base + i)
@@ -285,22 +304,12 @@ def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 8, max_log2: in
     """``(doc, ranges array<struct<a, z>>)``: word ranges to remove, sorted, for documents that have any."""
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(recurring(docs, width, gram, max_log2))
-    at = materialize(_places(docs, known, width, gram), "phrase-places")
-    first, split = _firsts(at), None
-    crowded = first.groupBy("seed").agg(F.sum(F.col("n") + width - 1).alias("words")).where(F.col("words") > shard_words)
-    crowded = materialize(crowded.select(F.col("seed").alias("key")), "phrase-crowded")
-    if not crowded.isEmpty():
-        split = sc.broadcast(bitmap(crowded, max_log2))
-        whole = at
-        at = materialize(_without(at, split).unionByName(_places(docs, known, width, gram, split, True)), "phrase-places")
-        discard(whole)
-        discard(first)
-        first = _firsts(at)
-    discard(crowded)
+    stored = materialize(_places(docs, known, width, gram), "phrase-places")
+    at, first, split = _split(docs, known, stored, _firsts(stored), width, gram, max_log2, CROWDED * shard_words)
     release(docs.sparkSession)
     words = first.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    chosen = sc.broadcast(bitmap(_place_keys(first), max_log2))
+    chosen = sc.broadcast(bitmap(_keys(first, "seg", "seg2", "doc", "start"), max_log2))
     parted = _places(docs, known, width, gram, split, chosen=chosen).drop("seed", "n").withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
     cut = parted.drop("deal").groupBy("shard").applyInArrow(confirm_shard(width, symbols), "seg bigint, seg2 bigint, rep_doc bigint, rep_start bigint, cuts array<struct<a:bigint,z:bigint>>")
     cut = materialize(cut, "phrase-cuts")
@@ -310,7 +319,7 @@ def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 8, max_log2: in
     whole_range = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("z")))
     marks = at.join(cut, ["seg", "seg2"]).select("doc", F.explode(F.when(at_rep, F.col("cuts")).otherwise(whole_range)).alias("r"))
     marks = materialize(marks.groupBy("doc").agg(F.sort_array(F.collect_set("r")).alias("ranges")), "phrase-ranges")
-    discard(at)
+    discard(stored)
     discard(cut)
     release(docs.sparkSession)
     return marks

@@ -78,9 +78,11 @@ def shared_seed(n, rnd):
     return [(i, " ".join([*rnd.choice(before), *phrase, *rnd.choice(after), f"own{i}"])) for i in range(n)]
 
 
-@pytest.mark.parametrize(("shard_words", "symbols"), [(40, phrases.SYMBOLS), (phrases.SHARD_WORDS, 7), (60, 5)])
+@pytest.mark.parametrize(("shard_words", "symbols"), [(10, phrases.SYMBOLS), (phrases.SHARD_WORDS, 7), (15, 5)])
 def test_crowded_seeds_are_split_and_words_may_outnumber_symbols(spark, shard_words, symbols):
-    rows = shared_seed(150, random.Random(8))
+    rows = shared_seed(150, random.Random(8)) + [(200 + i, " ".join(f"z{k}" for k in range(i % 3, 40))) for i in range(9)]
+    kept = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id as doc", "cast(text as binary) as text")
+    assert phrases.removed_ranges(kept, shard_words=shard_words).count() > 0
     assert run(spark, rows, shard_words=shard_words, symbols=symbols) == plain(rows)
     assert run(spark, rows, width=6, gram=3, shard_words=shard_words, symbols=symbols, max_log2=16) == plain(rows, 6)
 
