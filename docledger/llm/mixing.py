@@ -9,7 +9,8 @@ Defined cases: a null source is a source of its own; sources without a target we
 weight 0 when a weight table is given; repeated rows and rows sharing a doc_id get the
 same count; a null doc_id hashes as an empty string; a null or empty text has size 0 (a
 source of total size 0 has rate 1); an empty table gives an empty result. Columns of the
-input pass through unchanged, whatever their names.
+input pass through unchanged, whatever their names; an added column whose name the input
+has already gets underscores appended until it is free.
 """
 
 from __future__ import annotations
@@ -19,10 +20,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm._columns import free, own
 from docledger.plans.storage import materialize
 
 #: A source's rate is exact; its distribution is tabulated to where 2^-52 of it is left.
 HASH_DIGITS = 13
+#: Characters of the mix that one output partition should hold.
+PART_CHARS = 16_000_000
+#: Sources whose tabulated distributions (about 1 kB for a small rate) may be broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -36,8 +42,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5,
 
     Sizes are characters; ``total`` is the wanted size of the mix, by default that of the input.
     """
-    size = F.coalesce(F.length(text_col).cast("bigint"), F.lit(0))
-    by = docs.select(F.col(source_col).alias("source"), size.alias("n")).groupBy("source").agg(F.sum("n").alias("size"))
+    size = F.coalesce(F.length(own(text_col)).cast("bigint"), F.lit(0))
+    by = docs.select(own(source_col).alias("source"), size.alias("n")).groupBy("source").agg(F.sum("n").alias("size"))
     if weights is None:
         by = by.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(power)))
     else:
@@ -80,19 +86,26 @@ def distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(lowest(rate) + 1, top), start, step, lambda s: s["all"])
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, total: float | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "mix_key") -> DataFrame:
-    """The input's rows once for each copy, plus ``copy`` (from 0) and ``mix_key``, in the order of mix_key."""
+def mixed(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, total: float | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "mix_key", part_chars: int = PART_CHARS) -> DataFrame:
+    """The input's rows once for each copy, plus ``copy`` (from 0) and ``mix_key``, in the order of mix_key.
+
+    The keys are uniform, so a row's partition follows from its key alone: no pass samples the
+    rows for range bounds, and the number of partitions follows the size of the mix.
+    """
     rate = rates(docs, weights, power, total, source_col, text_col)
     table = rate.select("source", lowest(F.col("rate")).alias("low"), distribution(F.col("rate")).alias("cdf"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    inner = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(source_col).alias("own"))
-    joined = inner.join(table, F.col("own").eqNullSafe(F.col("source")))
+    row = F.struct(*[own(c) for c in docs.columns])
+    inner = docs.select(row.alias("row"), own(id_col).cast("bigint").alias("id"), own(source_col).alias("own"))
+    joined = inner.join(F.broadcast(table), F.col("own").eqNullSafe(F.col("source"))) if rate.count() <= BROADCAST_SOURCES else inner.join(table, F.col("own").eqNullSafe(F.col("source")))
     u = uniform(seed, F.col("id"))
     drawn = joined.withColumn("u", u).select("row", "id", (F.size(F.filter("cdf", lambda c: c <= F.col("u"))) + F.col("low")).cast("int").alias("k"))
     copies = drawn.where("k > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
     keyed = copies.select("row", F.col("copy").cast("bigint").alias("copy"), uniform(f"{seed}/order", F.col("id"), F.col("copy")).alias("key"), "id")
-    names = [f"row.`{c}`" for c in docs.columns]
-    return keyed.orderBy("key", "id", "copy").select(*names, F.col("copy").alias(copy_col), F.col("key").alias(key_col))
+    size = rate.agg(F.sum(F.col("rate") * F.col("size"))).first()[0] or 0.0
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / part_chars))
+    placed = keyed.repartitionById(n, F.floor(F.col("key") * n).cast("int")).sortWithinPartitions("key", "id", "copy")
+    added = free(copy_col, docs.columns)
+    return placed.select(*[own(c, "row").alias(c) for c in docs.columns], F.col("copy").alias(added), F.col("key").alias(free(key_col, [*docs.columns, added])))
 
 
 ORACLE = """

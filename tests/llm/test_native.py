@@ -89,7 +89,10 @@ def test_mixing_large_rates_and_defined_cases(spark, docs, none, odd):
     assert 4700 < n < 5300
     assert mixing.mixed(none).count() == 0
     out = mixing.mixed(odd)
-    assert out.columns == [*odd.columns, "copy", "mix_key"]
+    assert out.columns == [*odd.columns, "copy_", "mix_key_"]  # the input has copy and mix_key
+    held = {tuple(r) for r in odd.collect()}
+    assert {tuple(r)[:-2] for r in out.collect()} <= held
+    assert mixing.mixed(docs).columns == [*docs.columns, "copy", "mix_key"]
     twice = collections.Counter(r.doc_id for r in mixing.mixed(docs).collect())
     assert twice[5] % 2 == 0
 
@@ -123,7 +126,8 @@ def test_sharding_table_and_placement(spark, docs, odd, none):
     assert moved < 40
     out = sharding.sharded(odd)
     assert no_python(out)
-    assert out.columns == [*odd.columns, "slot", "shard"]
+    assert out.columns == [*odd.columns, "slot_", "shard_"]  # the input has Slot and shard
+    assert {tuple(r)[:-2] for r in out.collect()} == {tuple(r) for r in odd.collect()}
     got = sharding.sharded(docs)
     assert got.count() == docs.count()
     assert got.where("doc_id = 5").select("shard").distinct().count() == 1
@@ -145,3 +149,19 @@ def test_sql_agrees(spark, tmp_path, docs, name):
     names = [x[0] for x in cur.description]
     want = sorted(map(str, cur.fetchall()))
     assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == want
+
+
+def test_one_very_long_text(spark, docs):
+    text = " ".join(f"w{i % 9973}" for i in range(400_000)) + "\nline\nline"
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short text", "en", "t", 10)], docs.schema)
+    r = {x.doc_id: x for x in quality.verdicts(df, df.where("false")).collect()}[1]
+    assert tuple(r)[1:7] == base(text)
+    assert {x.n for x in mixing.mixed(df, total=5.0 * len(text)).selectExpr("length(text) as n").collect()} <= {len(text), 10}
+    assert sharding.sharded(df).where("doc_id = 1").selectExpr("length(text) as n").first()[0] == len(text)
+
+
+def test_mix_is_in_order_over_all_partitions(spark, docs):
+    out = mixing.mixed(docs, total=200_000.0, part_chars=5_000)
+    parts = out.selectExpr("spark_partition_id() as p", "mix_key as k").collect()
+    assert len({r.p for r in parts}) > 20
+    assert [r.k for r in parts] == sorted(r.k for r in parts)
