@@ -10,7 +10,12 @@ its features); words are runs of ASCII letters, digits and non-ASCII characters,
 Models are fitted on at most ``sample`` labelled documents, those with the smallest hash
 of doc_id; every document is then scored over its whole text.
 
-Defined cases: a null or empty text has no features and gets the intercepts' probabilities;
+Features are counted by fold and class where the documents are, and each model's features are
+chosen from those counts; only the chosen columns of the sample reach the driver, which bounds them by
+``sample`` times the number of chosen features, however long the texts are.
+
+Defined cases: a null or empty text has no features and gets the intercepts' probabilities; bytes
+that are not UTF-8 count as replacement characters;
 documents without labels are scored but not fitted; a null label counts as no label;
 repeated labels of a document count once each; without labelled documents, or with one class
 only, the probability is the smoothed base rate. Other columns are ignored.
@@ -24,7 +29,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm._columns import map_rows
 from docledger.llm._text import ALNUM_LOWER, small
+from docledger.plans.storage import discard, materialize
 
 #: Labelled documents used for fitting, at most.
 SAMPLE = 6_000
@@ -41,7 +48,7 @@ def features_of(word: bytes) -> list[int]:
     """Hashes of a word and its prefixes."""
     import xxhash
 
-    text = word.decode()
+    text = word.decode(errors="replace")
     names = [text, *(text[:k] + "*" for k in PREFIXES if len(text) > k)]
     return [xxhash.xxh64_intdigest(x.encode()) >> 1 for x in names]
 
@@ -51,7 +58,7 @@ def distinct_words(text: bytes | None) -> set[bytes]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, y array<int>, f array<bigint>, n array<int>)`` of the sampled labelled documents."""
+    """``(doc_id, fold, y array<int>, f array<bigint>, n array<int>)`` of the sampled labelled documents."""
     y = labels.select(F.col("doc_id").cast("bigint").alias("lab_id"), F.array(*[F.col(c).cast("int") for c in categories]).alias("y"))
     y = y.where("lab_id is not null and not exists(y, x -> x is null)").orderBy(F.xxhash64("lab_id"), "lab_id", "y").limit(sample)
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -65,9 +72,52 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], sam
                 u, n = np.unique(np.array(f, dtype=np.int64), return_counts=True)
                 fs.append(u)
                 ns.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int32()))], names=["doc_id", "y", "f", "n"])
+            fold = (b.column(0).to_numpy() * 2654435761 >> 8) % FOLDS
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fold), b.column(1), pa.array(fs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int32()))], names=["doc_id", "fold", "y", "f", "n"])
+
+    return rows.mapInArrow(run, "doc_id bigint, fold bigint, y array<int>, f array<bigint>, n array<int>")
+
+
+def chosen_features(rows: DataFrame, categories: int) -> np.ndarray:
+    """The sorted union of the features that any model of the chain will use, by the rule in ``fit``.
+
+    A model of one category is fitted without one fold, or on all; counts by fold and class give its gains.
+    """
+    hit = lambda k, c: F.sum(F.when(F.col("fold") == k, F.col("y")[c]).otherwise(0))
+    sums = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)]
+    for c in range(categories):
+        sums += [hit(k, c).alias(f"h{k}_{c}") for k in range(FOLDS)]
+    size = rows.agg(*sums).first()
+    counts = rows.select("fold", "y", F.explode("f").alias("f")).groupBy("f").agg(*sums)
+    counts = materialize(counts.where(sum(F.col(f"n{k}") for k in range(FOLDS)) >= LEAST), "toxicity-counts")
+    found: set[int] = set()
+    for out in [None, *range(FOLDS)]:
+        folds = [k for k in range(FOLDS) if k != out]
+        have, n = sum(F.col(f"n{k}") for k in folds), sum(size[f"n{k}"] or 0 for k in folds)
+        for c in range(categories):
+            base = (sum(size[f"h{k}_{c}"] or 0 for k in folds) + 0.5) / (n + 1)
+            gain = F.abs(sum(F.col(f"h{k}_{c}") for k in folds) - have * base) / F.sqrt(have * base * (1 - base) + 1e-9)
+            best = counts.where(have >= LEAST).select("f", gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "f").limit(FEATURES)
+            found.update(r.f for r in best.collect())
+    discard(counts)
+    return np.array(sorted(found), dtype=np.int64)
+
+
+def columns_of(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``rows`` with only the features in ``chosen``."""
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches):
+        for b in small(batches):
+            fs, ns = [], []
+            for f, n in zip(b.column(3), b.column(4), strict=True):
+                f, n = f.values.to_numpy(), n.values.to_numpy()
+                m = np.isin(f, shared.value, assume_unique=True)
+                fs.append(f[m])
+                ns.append(n[m])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int32()))], names=b.schema.names)
 
-    return rows.mapInArrow(run, "doc_id bigint, y array<int>, f array<bigint>, n array<int>")
+    return rows.mapInArrow(run, rows.schema)
 
 
 class Data:
@@ -142,16 +192,18 @@ def fit_chain(data: Data, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS):
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"):
-    """The chain's models, fitted on the driver over the bounded sample."""
-    got = training_rows(docs, labels, categories, sample, id_col, text_col).toArrow().combine_chunks()
+    """The chain's models, fitted on the driver over the chosen features of the bounded sample."""
+    rows = materialize(training_rows(docs, labels, categories, sample, id_col, text_col), "toxicity-sample")
+    got = columns_of(rows, chosen_features(rows, len(categories))).toArrow().combine_chunks()
+    discard(rows)
     # by doc_id, repeated rows by their features: the order of partitions must not matter
     size = pa.compute.list_value_length(got["f"])
     got = got.append_column("size", size).sort_by([("doc_id", "ascending"), ("size", "ascending")]).combine_chunks()
-    ids, y = got["doc_id"].to_numpy(), np.array(got["y"].to_pylist(), dtype=np.float64).reshape(-1, len(categories))
+    fold, y = got["fold"].to_numpy(), np.array(got["y"].to_pylist(), dtype=np.float64).reshape(-1, len(categories))
     offsets = np.concatenate(([0], np.cumsum(got["size"].to_numpy(), dtype=np.int64)))
     f, n = (np.concatenate([c.flatten().to_numpy() for c in got[x].chunks] or [np.zeros(0, np.int64)]) for x in ("f", "n"))
     del got
-    return fit_chain(Data(offsets, f, n), y, (ids * 2654435761 >> 8) % FOLDS)
+    return fit_chain(Data(offsets, f, n), y, fold)
 
 
 class Scorer:
@@ -214,4 +266,4 @@ def accepted(docs: DataFrame, models, threshold: float = THRESHOLD, text_col: st
         for b in small(batches):
             yield b.filter(pa.array([scorer.score(t)[-1] < threshold for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -76,3 +76,33 @@ def test_defined_cases(spark, docs, none, odd):
     long = spark.createDataFrame([(1, "word " * 200_000), (2, None), (3, "")], "doc_id bigint, text string")
     p = {r.doc_id: r.p_toxic for r in tx.scores(long, models, CATS).collect()}
     assert p[2] == p[3]
+
+
+def test_features_chosen_by_counts_are_those_that_fit_chooses(spark):
+    d, labels, truth = labelled(spark, 300, 5)
+    rows = tx.training_rows(d, labels, CATS, 1000, "doc_id", "text").orderBy("doc_id").collect()
+    offsets = np.concatenate(([0], np.cumsum([len(r.f) for r in rows])))
+    data = tx.Data(offsets, np.array([x for r in rows for x in r.f], dtype=np.int64), np.array([x for r in rows for x in r.n], dtype=np.int64))
+    y, fold = np.array([r.y for r in rows], dtype=float), np.array([r.fold for r in rows])
+    plain = tx.fit_chain(data, y, fold)
+    for a, b in zip(tx.train(d, labels, CATS), plain, strict=True):
+        assert all(np.allclose(x, z) for x, z in zip(a, b, strict=True))
+
+
+def test_held_out_accuracy_on_the_table(spark):
+    """Half of the labelled documents of sf0.1 fit the chain, the other half judge it."""
+    path = "/root/testdata/sf0.1"
+    docs, raw = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    labels = raw.selectExpr("doc_id", "1 - quality as low_quality", "toxic")
+    models = tx.train(docs, labels.where("doc_id % 2 = 0"), CATS)
+    seen = tx.scores(docs, models, CATS).withColumnRenamed("toxic", "said").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    yes, no = [r for r in seen if r.toxic], [r for r in seen if not r.toxic]
+    assert len(yes) > 20 and len(no) > 500
+    assert sum(r.said for r in yes) >= 0.9 * len(yes)
+    assert sum(r.said for r in no) <= 0.02 * len(no)
+
+
+def test_bytes_that_are_not_utf8(spark):
+    d, labels, _ = labelled(spark, 60, 3)
+    bad = spark.createDataFrame([(0, b"\xff vilehead \xc3"), (1000, b"\xc3\x28")], "doc_id bigint, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    assert tx.scores(bad, tx.train(d.unionByName(bad), labels, CATS), CATS).count() == 2
