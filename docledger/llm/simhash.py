@@ -38,6 +38,8 @@ BITS = 64
 SLICE = 1 << 15
 #: Rows of one kind that meet in a block, and hot anchors that may be broadcast.
 BLOCK, HOT_LIMIT = 4096, 100_000
+#: Bytes of shingle sets that one block of a crowd should hold.
+CELL_BYTES = 32 << 20
 #: Rows with one fingerprint from which it counts as hot in a join.
 MANY = 256
 #: [15,11] Hamming code: the parity-check column of bit j is j + 1.
@@ -218,11 +220,11 @@ def nearest(n: int, a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray
     return order[np.concatenate(kept)]
 
 
-def links(cells: DataFrame, names: list[str], node: str, carried: list[str], threshold: int, pick: str = "star", apart: str | None = None) -> DataFrame:
+def links(cells: DataFrame, names: list[str], node: str, carried: list[str], threshold: int, pick: str = "star") -> DataFrame:
     """Edges ``(u, v)`` between the ``node`` values whose fingerprints ``names`` differ in few bits.
 
     ``star``: each linked row of a cell with its group's first one. ``tree``: a spanning forest of the links
-    themselves, the nearest first. ``all``: every link between rows that differ in column ``apart``.
+    themselves, the nearest first.
     """
     bits_at, node_at = [carried.index(c) for c in names], carried.index(node)
 
@@ -244,13 +246,7 @@ def links(cells: DataFrame, names: list[str], node: str, carried: list[str], thr
             right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own[h]], n)
             gap = sum(np.bitwise_count(cols[k][left].view(np.uint64) ^ cols[k][right].view(np.uint64)).astype(np.int16) for k in bits_at)
             near = (gap <= threshold) & (node[left] != node[right])
-            if pick == "all":
-                other = cols[carried.index(apart)]
-                near &= other[left] != other[right]
-                a, b = place[left[near]], place[right[near]]
-                pair = np.unique(np.maximum(a, b) * len(ids) + np.minimum(a, b))
-                yield ids[pair // len(ids)], ids[pair % len(ids)]
-            elif pick == "tree":
+            if pick == "tree":
                 if near.any():
                     tree = [np.concatenate(x) for x in zip(tree, (place[left[near]], place[right[near]], gap[near]), strict=True)]
                     at = nearest(len(ids), *tree)
@@ -286,15 +282,11 @@ def links(cells: DataFrame, names: list[str], node: str, carried: list[str], thr
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint")
 
 
-def linked(groups: DataFrame, of: list[str], names: list[str], node: str, threshold: int, reach: int, segments: int, block: int, pick: str = "star", apart: str | None = None) -> DataFrame:
-    """Stored edges ``(u, v)``, picked as in ``links``, between groups that meet at an anchor of a column in ``of``."""
-    carried = list(dict.fromkeys([*names, node, *[apart] * bool(apart)]))
-    rows = None
-    for k, c in enumerate(of):
-        own = anchors(groups, c, carried, reach, segments).withColumn("anchor", F.col("anchor") + F.lit(k << 44))
-        rows = own if rows is None else rows.union(own)
-    rows = materialize(rows, "simhash-anchors")
-    edges = links(dealt(rows, carried, block), names, node, carried, threshold, pick, apart)
+def linked(groups: DataFrame, of: str, names: list[str], node: str, threshold: int, reach: int, segments: int, block: int, pick: str = "star") -> DataFrame:
+    """Stored edges ``(u, v)``, picked as in ``links``, between groups that meet at an anchor of column ``of``."""
+    carried = list(dict.fromkeys([*names, node]))
+    rows = materialize(anchors(groups, of, carried, reach, segments), "simhash-anchors")
+    edges = links(dealt(rows, carried, block), names, node, carried, threshold, pick)
     edges = materialize(edges if pick == "star" else edges.distinct(), "simhash-links")
     discard(rows)
     release(groups.sparkSession)
@@ -324,7 +316,7 @@ def components(prints: DataFrame, threshold: int = 4, segments: int | None = Non
     groups = grouped(prints, ["fp"])
     if segments is None:
         segments = 3 if groups.count() < 1 << 26 else 2
-    edges = linked(groups, ["fp"], ["fp"], "fp", threshold, threshold // segments, segments, block)
+    edges = linked(groups, "fp", ["fp"], "fp", threshold, threshold // segments, segments, block)
     comp = materialize(connected_components(edges), "simhash-components")
     low = groups.join(comp, groups.fp == comp.node, "inner").groupBy("root").agg(F.min("low").alias("least"))
     least = comp.join(low, "root").select(F.col("node").alias("fp"), "least")
@@ -339,8 +331,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, seed: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored: the ``pairs(u, v)`` of doc_ids whose texts share ``least`` of their distinct shingles, compared by 64-bit hashes."""
+def shingle_sets(docs: DataFrame, pairs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored ``(node, held binary)``: the distinct shingles, as 64-bit hashes, of the documents in ``pairs(u, v)``."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("id")).select(F.xxhash64("id").alias("key")).distinct()))
 
     def sets(batches):
@@ -349,19 +341,92 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, seed: int, least:
             held = [shingle_set(t.as_py(), shingle, seed).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["node", "held"])
 
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
+    out = materialize(rows.mapInArrow(sets, "node bigint, held binary").distinct(), "simhash-sets")
+    wanted.unpersist()
+    return out
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Stored: the ``pairs(u, v)`` whose texts share ``least`` of their distinct shingles."""
+
     def check(batches):
         for b in small(batches, 256):
             ok = [alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), least) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
-    held = materialize(rows.mapInArrow(sets, "node bigint, held binary").distinct(), "simhash-sets")
-    wanted.unpersist()
     first, second = held.select(F.col("node").alias("u"), F.col("held").alias("a")), held.select(F.col("node").alias("v"), F.col("held").alias("b"))
     both = pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b")
-    out = materialize(both.mapInArrow(check, "u bigint, v bigint").distinct(), "simhash-confirmed")
-    discard(held)
+    return materialize(both.mapInArrow(check, "u bigint, v bigint").distinct(), "simhash-confirmed")
+
+
+def join_alike(own: np.ndarray, side: np.ndarray, cross: bool, fps: np.ndarray, sets: list[np.ndarray], threshold: int, least: float) -> list[tuple[int, int]]:
+    """Row pairs (a, b) that join the groups in ``own``: near by bits, alike by sets, as few as join what can be joined.
+
+    With ``cross`` only rows of different sides are compared. Where a row has many near ones, the
+    sizes of all its intersections are counted at once, through the rows that hold each shingle.
+    """
+    label, n, found = own.copy(), len(own), []
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate([np.zeros(0, dtype="<u8"), *sets])
+    order = np.argsort(flat, kind="stable")
+    holder, flat = np.repeat(np.arange(n), sizes)[order], flat[order]
+    for a in range(n):
+        if cross and side[a] != side[0]:
+            continue
+        gap = np.bitwise_count(fps ^ fps[:, a : a + 1]).sum(axis=0, dtype=np.int64)
+        near = (gap <= threshold) & (label != label[a])
+        near &= side != side[a] if cross else np.arange(n) > a
+        at = np.flatnonzero(near)
+        if len(at) > 8:
+            lo, hi = np.searchsorted(flat, sets[a], "left"), np.searchsorted(flat, sets[a], "right")
+            n_of = hi - lo
+            rows = holder[np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(lo, n_of)]
+            both = np.bincount(rows, minlength=n)[at]
+            at = at[both >= least * (sizes[a] + sizes[at] - both)]
+        for b in at[np.argsort(gap[at], kind="stable")].tolist():
+            if label[a] != label[b] and alike(sets[a], sets[b], least):
+                found.append((a, b))
+                label[label == label[b]] = label[a]
+    return found
+
+
+def crowd_links(known: DataFrame, names: list[str], edges: DataFrame, comp: DataFrame, held: DataFrame, threshold: int, least: float, block: int) -> DataFrame:
+    """Stored links ``(u, v)`` that join groups of ``comp(node, root)`` further, among rows that ``edges`` lead to.
+
+    A crowd is what edges hold together, be they links or not; it is looked at only if it holds several groups.
+    Crowds of more rows or bytes than a cell should hold are dealt out as a grid of cells (block x block), as
+    crowded anchors are. Each cell has its rows' shingle sets and gives the links that join its groups, so
+    what comes out is fewer than the rows that go in, whatever a crowd's size.
+    """
+    group = lambda c: comp.select(F.col("node").alias(c), F.col("root").alias(f"{c}_own"))
+    named = edges.join(group("u"), "u", "left").join(group("v"), "v", "left").select("u", "v", F.coalesce("u_own", "u").alias("a"), F.coalesce("v_own", "v").alias("b"))
+    named = materialize(named, "simhash-named")
+    crowd = materialize(connected_components(named.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "simhash-crowds")
+    met = named.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("a").alias("own")), F.struct(F.col("v").alias("node"), F.col("b").alias("own")))).alias("m")).select("m.*").distinct()
+    met = met.join(crowd.select(F.col("node").alias("own"), F.col("root").alias("crowd")), "own")
+    rows = met.join(known.select(F.col("low").alias("node"), *names), "node").join(held, "node")
+    rows = materialize(rows.select("crowd", "own", "node", *names, "held"), "simhash-again")
+    sizes = rows.groupBy("crowd").agg(F.count("*").alias("rows"), F.sum(F.octet_length("held")).alias("bytes"))
+    hot = sizes.select("crowd", F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+    hot = materialize(hot, "simhash-hot")
+    split = rows.join(F.broadcast(hot) if hot.count() <= HOT_LIMIT else hot, "crowd", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = split.select(F.xxhash64("crowd", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "side", (F.col("side") != F.col("other")).alias("cross"), "own", "node", *names, "held")
+
+    def run(key, table):
+        table = table.sort_by([("side", "ascending"), ("node", "ascending")])
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["held"]]
+        fps = np.stack([table[c].to_numpy() for c in names]).view(np.uint64)
+        node = table["node"].to_numpy()
+        found = join_alike(table["own"].to_numpy(), table["side"].to_numpy(), table["cross"][0].as_py(), fps, sets, threshold, least)
+        u, v = (node[[p[k] for p in found]] if found else node[:0] for k in range(2))
+        return pa.table({"u": u, "v": v})
+
+    out = materialize(cells.groupBy("cell").applyInArrow(run, "u bigint, v bigint"), "simhash-more")
+    for x in (named, crowd, rows, hot):
+        discard(x)
     return out
 
 
@@ -371,14 +436,12 @@ def near_duplicates_wide(docs: DataFrame, parts: int, threshold: int, shingle: i
     The share of differing bits measures the angle between two shingle multisets; more bits
     measure it better. Every part is covered by anchors with segment threshold 1, and two
     documents that meet at any anchor are compared over all bits. Pairs within
-    ``2 * segments * parts - 1`` bits always meet; with 4 parts of 3 segments, texts at a shingle
-    similarity of 0.9 meet with probability 0.99, at 0.8 with 0.86.
+    ``2 * segments * parts - 1`` bits always meet; farther ones meet with a probability that falls with the distance.
 
     Bits only propose: a pair is a link once its shingle sets are compared. First the nearest links of
-    each cell that span it are confirmed; then every other pair that met, of rows not yet in one group.
-    So each pair that meets within ``threshold`` bits is either confirmed, refused or within one group.
-    The second step compares as many pairs as lie between groups, with the square of a crowd's size
-    where many texts are within ``threshold`` bits but below ``least``.
+    each cell that span it are confirmed. What they leave apart is compared again crowd by crowd
+    (``crowd_links``). So each pair that meets within ``threshold`` bits is confirmed, refused or within one group.
+    The work grows with the square of a crowd, spread over cells of bounded size; the rows that come out do not.
 
     Rows whose doc_ids are all null for one fingerprint are in no group. Recall against all pairs and wrong
     links are measured in ``tests/llm/test_simhash.py``.
@@ -388,16 +451,14 @@ def near_duplicates_wide(docs: DataFrame, parts: int, threshold: int, shingle: i
     groups = grouped(prints, [*names, "same"])
     known, edges = groups.where("low is not null"), None
     for of in names:
-        new = linked(known, [of], names, "low", threshold, 1, segments, block, "tree")
+        new = linked(known, of, names, "low", threshold, 1, segments, block, "tree")
         edges = new if edges is None else edges.union(new)
     edges = materialize(edges.distinct(), "simhash-edges")
-    sure = confirmed(docs, edges, shingle, seed, least)
+    held = shingle_sets(docs, edges, shingle, seed)
+    sure = confirmed(edges, held, least)
     comp = materialize(connected_components(sure), "simhash-components")
-    met = edges.select(F.explode(F.array("u", "v")).alias("met")).distinct()
-    again = known.join(met, F.col("low") == F.col("met"), "left_semi").join(comp, F.col("low") == F.col("node"), "left")
-    again = materialize(again.select(*names, "low", F.coalesce("root", "low").alias("own")), "simhash-again")
-    rest = linked(again, names, names, "low", threshold, 1, segments, block, "all", "own").join(edges, ["u", "v"], "left_anti")
-    more = confirmed(docs, materialize(rest, "simhash-rest"), shingle, seed, least)
+    more = crowd_links(known, names, edges, comp, held, threshold, least, block)
+    discard(held)
     if not more.isEmpty():
         comp = materialize(connected_components(comp.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "simhash-components")
     to = groups.join(comp, F.col("low") == F.col("node"), "left").select(*names, "same", "n", F.coalesce("root", "low").alias("component_id"))
