@@ -38,8 +38,8 @@ BITS = 64
 SLICE = 1 << 15
 #: Rows of one kind that meet in a block, and hot anchors that may be broadcast.
 BLOCK, HOT_LIMIT = 4096, 100_000
-#: Bytes of shingle sets that one block of a crowd should hold.
-CELL_BYTES = 32 << 20
+#: Rows and bytes of shingle sets that one block of a crowd should hold.
+CROWD_BLOCK, CELL_BYTES = 1024, 32 << 20
 #: Rows with one fingerprint from which it counts as hot in a join.
 MANY = 256
 #: [15,11] Hamming code: the parity-check column of bit j is j + 1.
@@ -409,7 +409,7 @@ def crowd_links(known: DataFrame, names: list[str], edges: DataFrame, comp: Data
     rows = met.join(known.select(F.col("low").alias("node"), *names), "node").join(held, "node")
     rows = materialize(rows.select("crowd", "own", "node", *names, "held"), "simhash-again")
     sizes = rows.groupBy("crowd").agg(F.count("*").alias("rows"), F.sum(F.octet_length("held")).alias("bytes"))
-    hot = sizes.select("crowd", F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+    hot = sizes.select("crowd", F.greatest(F.ceil(F.col("rows") / min(block, CROWD_BLOCK)), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
     hot = materialize(hot, "simhash-hot")
     split = rows.join(F.broadcast(hot) if hot.count() <= HOT_LIMIT else hot, "crowd", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     split = split.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
