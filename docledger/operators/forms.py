@@ -95,12 +95,26 @@ def round_even(x: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers below 1e15 without a point, others in plain decimal digits."""
+    """Whole numbers below 1e15 without a point, others with all their shortest digits and never an exponent.
+
+    A JVM may print more digits than needed, so forms of 1, 15 and 16 digits that read back as the number come first.
+    """
     whole = (F.abs(x) < 1e15) & (x == F.floor(x))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.17f", F.round(x, 12)), "0+$", ""), "\\.$", "")
-    shown = x.cast("string")
+    tried = [F.format_string(f"%.{n}e", x) for n in (0, 14, 15)]
+    shown = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tried], x.cast("string"))
+    parts = F.regexp_extract(shown, "^-?([0-9.]+)(?:[eE]([-+]?[0-9]+))?$", 1), F.regexp_extract(shown, "[eE]([-+]?[0-9]+)$", 1)
+    point = F.when(F.contains(parts[0], F.lit(".")), F.instr(parts[0], ".") - 1).otherwise(F.length(parts[0])) + F.coalesce(F.when(parts[1] != "", parts[1]).cast("int"), F.lit(0))
+    raw = F.replace(parts[0], F.lit("."), F.lit(""))
+    # leading zeros move the point
+    lead = F.length(raw) - F.length(F.regexp_replace(raw, "^0+", ""))
+    digits, at = F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", ""), point - lead
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), at - n))
+    mixed = F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, n))
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), F.when(at <= 0, small).when(at >= n, large).otherwise(mixed))
     odd = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), odd).when(whole, F.when(whole, x).cast("bigint").cast("string")).when(shown.contains("E"), plain).otherwise(shown)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), odd).when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(plain)
 
 
 def to_text(c: Cell) -> Column:

@@ -81,20 +81,41 @@ def unknown_fields(values: DataFrame, fields: DataFrame) -> DataFrame:
     return finding(values.join(fields, ["doc_id", "field_id"], "left_anti"), "error", "E_FIELD_LAYER_ID", F.concat(F.lit("unknown field "), F.col("field_id").cast("string")))
 
 
-def field_cycles(reads: DataFrame, rounds: int = 256) -> DataFrame:
-    """``reads(doc_id, field_id, ref)`` between computed fields: those left when leaves are taken off again and again."""
-    from docledger.plans.storage import materialize
-
-    left = materialize(reads.distinct(), "cycles")
-    n = left.count()
-    for _ in range(rounds):
-        heads = left.select("doc_id", F.col("field_id").alias("ref")).distinct()
-        new = materialize(left.join(heads, ["doc_id", "ref"], "left_semi").select("doc_id", "field_id", "ref"), "cycles")
-        m = new.count()
-        if m == n:
-            break
-        left, n = new, m
-    return finding(left.select("doc_id").distinct(), "error", "E_FIELD_CYCLE", "computed fields depend on each other")
+def has_cycle(edges: list[tuple]) -> bool:
+    """Whether leaves taken off again and again leave anything of ``(field, ref)`` edges."""
+    refs: dict = {}
+    for field, ref in edges:
+        refs.setdefault(field, set()).add(ref)
+    users: dict = {}
+    for field, own in refs.items():
+        own.intersection_update(refs)
+        for ref in own:
+            users.setdefault(ref, []).append(field)
+    ready = [f for f, own in refs.items() if not own]
+    left = len(refs)
+    while ready:
+        left -= 1
+        for user in users.get(x := ready.pop(), ()):
+            refs[user].discard(x)
+            if not refs[user]:
+                ready.append(user)
+    return left > 0
+
+
+def field_cycles(reads: DataFrame) -> DataFrame:
+    """``reads(doc_id, field_id, ref)`` between computed fields: documents whose fields depend on each other in a circle.
+
+    One shuffle by document, whose own fields bound the group; no rounds, so chains may be of any length.
+    """
+    import pyarrow as pa
+
+    per = reads.where("doc_id is not null").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("field_id", "ref")).alias("e"))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([has_cycle([(x["field_id"], x["ref"]) for x in e]) for e in b.column(1).to_pylist()], pa.bool_()))
+
+    return finding(per.mapInArrow(run, per.schema).select("doc_id"), "error", "E_FIELD_CYCLE", "computed fields depend on each other")
 
 
 def constraints(violations: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docledger.catalog import register
-from docledger.functions import scalar
+from docledger.functions import ed25519, scalar
 from docledger.operators import disclosure, forms, layout, merkle, tree, validate
 from docledger.operators.forms import Field
 from docledger.plans.storage import table
@@ -51,6 +51,8 @@ expr_query("frm8_and_or", ["or", ["and", [">", REF["qty"], 25], ["<", REF["disc"
 expr_query("frm8_short_circuit", ["or", [">", REF["qty"], 25], REF["flag"]], "bool", "CASE WHEN l_quantity > 25 THEN true END", "CASE WHEN l_quantity > 25 THEN NULL ELSE 'expected a boolean' END")
 expr_query("frm9_if_not", ["if", ["not", ["=", REF["flag"], "N"]], REF["qty"], REF["line"]], "num", "CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE CAST(l_linenumber AS DOUBLE) END")
 expr_query("frm10_match", ["match", REF["flag"], ["A", 1], ["R", 2], 0], "num", "CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS DOUBLE)")
+TINY = "CAST(l_extendedprice / 3e9 AS VARCHAR)"
+expr_query("frm11_small_numbers", ["/", REF["price"], 3e9], "text", f"CASE WHEN contains({TINY}, 'e-') THEN '0.' || repeat('0', CAST(string_split({TINY}, 'e-')[2] AS INT) - 1) || replace(string_split({TINY}, 'e-')[1], '.', '') ELSE {TINY} END")
 expr_query("frm11_text", REF["qty"], "text", "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)")
 expr_query("frm12_regex_valid", ["regex-valid", REF["qty"], "[1-3][0-9]"], "bool", "regexp_full_match(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '[1-3][0-9]')")
 
@@ -134,29 +136,50 @@ def val1(spark, sf_dir):
     return validate.version(docs_of(spark, sf_dir).select("doc_id", F.when(F.col("source") == "src1", 2).otherwise(1).alias("major")), 1)
 
 
-@register("val2_undecodable", "SELECT page_id AS doc_id, 'error' AS severity, 'E_ROOT' AS code, '(root)' AS path, 'no article' AS message FROM pages WHERE NOT contains(html, '<article')")
+PARTS = ("root", "metadata", "resources", "provenance", "field_layer")
+
+
+@register(
+    "val2_undecodable",
+    f"""SELECT page_id AS doc_id, 'error' AS severity, 'E_' || upper(part) AS code, '(root)' AS path, 'no article' AS message
+    FROM (SELECT *, [{", ".join(f"'{p}'" for p in PARTS)}][page_id % 5 + 1] AS part FROM pages) WHERE page_id % 3 = 0""",
+)
 def val2(spark, sf_dir):
+    part = F.get(F.array(*map(F.lit, PARTS)), (F.col("page_id") % 5).cast("int"))
     p = table(spark, sf_dir, "pages")
-    return validate.undecodable(p.select(F.col("page_id").alias("doc_id"), F.lit("root").alias("part"), F.when(~F.contains("html", F.lit("<article")), "no article").alias("problem")))
+    return validate.undecodable(p.select(F.col("page_id").alias("doc_id"), part.alias("part"), F.when(F.col("page_id") % 3 == 0, "no article").alias("problem")))
 
 
-@register("val3_root_and_language", f"SELECT conv_id AS doc_id, {sev('error', 'E_NESTED_DOC')}, CAST(turn AS VARCHAR) AS path, 'a doc inside a doc' AS message FROM conversations WHERE role = 'system' UNION ALL SELECT doc_id, {sev('error', 'E_LANG')}, '(root)', 'no language' FROM documents WHERE lang NOT IN ('en', 'de')")
+@register(
+    "val3_root_and_language",
+    f"""SELECT conv_id AS doc_id, {sev('error', 'E_NESTED_DOC')}, CAST(turn AS VARCHAR) AS path, 'a doc inside a doc' AS message FROM conversations WHERE role = 'system'
+    UNION ALL SELECT doc_id, {sev('error', 'E_LANG')}, '(root)', 'no language' FROM documents WHERE lang NOT IN ('en', 'de')
+    UNION ALL SELECT doc_id, {sev('error', 'E_ROOT_KIND')}, '(root)', 'the root is not a doc' FROM documents WHERE source = 'src2'""",
+)
 def val3(spark, sf_dir):
     n = tree.nodes_of_conversations(table(spark, sf_dir, "conversations")).where("kind = 'sec'")
     n = n.withColumn("kind", F.when(F.col("role") == "system", "doc").otherwise(F.col("kind")))
+    roots = docs_of(spark, sf_dir).select("doc_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.when(F.col("source") == "src2", "sec").otherwise("doc").alias("kind"))
     d = docs_of(spark, sf_dir).select("doc_id", F.when(F.col("lang").isin("en", "de"), F.col("lang")).alias("lang"))
-    return validate.report(validate.root_kind(n), validate.language(d))
+    return validate.report(validate.root_kind(n.select("doc_id", "path", "depth", "kind").unionByName(roots)), validate.language(d))
 
 
 @register(
     "val4_pages",
-    f"""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_no, l_partkey AS page_id FROM lineitem)
-    SELECT doc_id, {sev('error', 'E_PAGE_MISSING')}, 'page ' || page_no AS path, 'page object missing' AS message FROM c WHERE page_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""",
+    f"""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS page_no, l_partkey AS page_id FROM lineitem), p AS (SELECT * FROM part WHERE p_size > 5),
+    h AS (SELECT doc_id, sha256(string_agg(CAST(page_id AS VARCHAR), '' ORDER BY page_no, page_id)) AS h FROM c GROUP BY doc_id)
+    SELECT doc_id, {sev('error', 'E_PAGE_MISSING')}, 'page ' || page_no AS path, 'page object missing' AS message FROM c WHERE page_id NOT IN (SELECT p_partkey FROM p)
+    UNION ALL SELECT doc_id, {sev('error', 'E_PAGE_DECODE')}, 'page ' || page_no, 'bad page' FROM c JOIN p ON p_partkey = page_id WHERE p_size > 45
+    UNION ALL SELECT doc_id, {sev('error', 'E_GEOMETRY')}, 'page ' || page_no, 'page without an area' FROM c JOIN p ON p_partkey = page_id WHERE p_size % 10 = 0
+    UNION ALL SELECT doc_id, {sev('error', 'E_LAYOUT_HASH')}, '(root)', 'layout hash differs' FROM h WHERE doc_id % 4 = 0""",
 )
 def val4(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), F.col("l_partkey").alias("page_id"))
-    p = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("page_id"), F.col("p_size").alias("width"), F.lit(1).alias("height"), F.lit(None).cast("string").alias("problem"))
-    return validate.pages(c, p)
+    size = F.col("p_size")
+    p = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("page_id"), size.alias("width"), (size % 10).alias("height"), F.when(size > 45, "bad page").alias("problem"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page_id"))), lambda x: x["page_id"]), "")
+    claimed = c.groupBy("doc_id").agg(F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(whole, 256)).alias("layout_hash"))
+    return validate.report(validate.pages(c, p), validate.layout_hash(c, claimed))
 
 
 @register("val5_unknown_fields", f"SELECT doc_id, {sev('error', 'E_FIELD_LAYER_ID')}, '(root)' AS path, 'unknown field ' || source AS message FROM documents WHERE source IN ('src3', 'src4')")
@@ -183,30 +206,43 @@ def val7(spark, sf_dir):
     "val8_profiles",
     f"""WITH o AS (SELECT o_orderkey AS doc_id, o_orderstatus AS s, o_totalprice AS p FROM orders)
     SELECT doc_id, {sev('error', 'E_ARCHIVE_CACHE')}, '(root)' AS path, 'an archive needs a render cache' AS message FROM o WHERE s = 'F' AND p < 1000
+    UNION ALL SELECT doc_id, {sev('error', 'E_ARCHIVE_PROV')}, '(root)', 'an archive needs provenance' FROM o WHERE s = 'F' AND doc_id % 7 = 0
     UNION ALL SELECT doc_id, {sev('error', 'E_ARCHIVE_FIELDS')}, '(root)', 'an archive has no open fields' FROM o WHERE s = 'F' AND p > 400000
     UNION ALL SELECT doc_id, {sev('error', 'E_STREAM_INDEX')}, '(root)', 'a stream needs a page index' FROM o WHERE s = 'O' AND p < 1000""",
 )
 def val8(spark, sf_dir):
     p = F.col("o_totalprice")
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "archive").when(F.col("o_orderstatus") == "O", "stream").alias("profile"), (p >= 1000).alias("has_cache"), F.lit(True).alias("has_provenance"), (p > 400000).alias("has_fields"), (p >= 1000).alias("has_index"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "archive").when(F.col("o_orderstatus") == "O", "stream").alias("profile"), (p >= 1000).alias("has_cache"), (F.col("o_orderkey") % 7 != 0).alias("has_provenance"), (p > 400000).alias("has_fields"), (p >= 1000).alias("has_index"))
     return validate.profiles(o)
 
 
-@register("val9_objects", f"SELECT DISTINCT l_orderkey AS doc_id, {sev('error', 'E_MISSING_OBJECT')}, '(root)' AS path, CAST(l_partkey AS VARCHAR) AS message FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)")
+@register(
+    "val9_objects",
+    f"""WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS id FROM lineitem), s AS (SELECT DISTINCT o_orderkey AS doc_id, o_custkey AS id FROM orders UNION SELECT doc_id, id FROM r WHERE id % 4 <> 0)
+    SELECT doc_id, {sev('error', 'E_MISSING_OBJECT')}, '(root)' AS path, CAST(id AS VARCHAR) AS message FROM r WHERE (doc_id, id) NOT IN (SELECT (doc_id, id) FROM s)
+    UNION ALL SELECT DISTINCT doc_id, {sev('warning', 'W_ORPHANS')}, '(root)', 'unreachable objects' FROM s WHERE (doc_id, id) NOT IN (SELECT (doc_id, id) FROM r)""",
+)
 def val9(spark, sf_dir):
     refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("id")).distinct()
-    there = table(spark, sf_dir, "part").where("p_size > 3").select(F.col("p_partkey").alias("id"))
-    return validate.objects(refs.join(there, "id", "left_anti").select("doc_id", "id", F.lit("missing").alias("verdict")))
+    stored = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("id")).union(refs.where("id % 4 <> 0")).distinct()
+    missing = refs.join(stored, ["doc_id", "id"], "left_anti").withColumn("verdict", F.lit("missing"))
+    orphans = stored.join(refs, ["doc_id", "id"], "left_anti").withColumn("verdict", F.lit("orphan"))
+    return validate.objects(missing.unionByName(orphans))
 
 
 @register(
     "val10_figures",
-    f"""SELECT conv_id AS doc_id, {sev('error', 'E_ALT_TEXT')}, CAST(turn AS VARCHAR) || '.0' AS path, 'figure without alternative text' AS message FROM conversations WHERE role <> 'user' AND length(text) < 40""",
+    f"""WITH f AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN NULL WHEN length(text) >= 40 THEN text END AS alt FROM conversations)
+    SELECT conv_id AS doc_id, {sev('error', 'E_ALT_TEXT')}, turn || '.0' AS path, 'figure without alternative text' AS message FROM f WHERE alt IS NULL AND turn % 2 = 0
+    UNION ALL SELECT conv_id, {sev('error', 'E_FIG_RES')}, turn || '.0', 'figure resource missing' FROM f WHERE turn >= 3""",
 )
 def val10(spark, sf_dir):
-    n = tree.nodes_of_conversations(table(spark, sf_dir, "conversations").where("role <> 'user'")).where("kind = 'p'")
-    n = n.select("doc_id", "path", F.lit("fig").alias("kind"), F.when(F.char_length("text") >= 40, F.col("text")).alias("alt"), F.lit(False).alias("decorative"), F.lit(0).alias("res_id"))
-    return validate.figures(n, n.select("doc_id", "res_id").distinct())
+    t = table(spark, sf_dir, "conversations")
+    n = t.select(
+        F.col("conv_id").alias("doc_id"), F.array(F.col("turn").cast("int"), F.lit(0)).alias("path"), F.lit("fig").alias("kind"),
+        F.when((F.col("role") != "user") & (F.char_length("text") >= 40), F.col("text")).alias("alt"), (F.col("turn") % 2 == 1).alias("decorative"), F.col("turn").alias("res_id"),
+    )
+    return validate.figures(n, t.where("turn < 3").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("res_id")).distinct())
 
 
 CELLS = f"SELECT doc_id, i, len(string_split(text, ' | ')) AS n, min(i) OVER (PARTITION BY doc_id) AS f FROM ({LINES}) WHERE contains(text, ' | ')"
@@ -215,32 +251,50 @@ CELLS = f"SELECT doc_id, i, len(string_split(text, ' | ')) AS n, min(i) OVER (PA
 @register(
     "val11_table_shape",
     f"""WITH c AS ({CELLS}), h AS (SELECT doc_id, n AS w FROM c WHERE i = f)
-    SELECT c.doc_id, {sev('error', 'E_TABLE_SHAPE')}, '0' AS path, 'row ' || c.i AS message FROM c JOIN h ON h.doc_id = c.doc_id WHERE n <> w""",
+    SELECT c.doc_id, {sev('error', 'E_TABLE_SHAPE')}, '0' AS path, 'row ' || c.i AS message FROM c JOIN h ON h.doc_id = c.doc_id WHERE n <> w
+    UNION ALL SELECT doc_id, {sev('error', 'E_TABLE_EMPTY')}, '0', 'table without body rows' FROM c GROUP BY doc_id HAVING count(*) = 1""",
 )
 def val11(spark, sf_dir):
-    rows = tree.nodes_of_lines(docs_of(spark, sf_dir)).where("kind = 'row'").select("doc_id", F.array(F.lit(0)).alias("path"), F.lit("body").alias("part"), F.col("ord").alias("row_no"), F.size(F.split("text", " \\| ")).alias("spans"))
-    head = rows.groupBy("doc_id").agg(F.min_by("spans", "row_no").alias("columns")).select("doc_id", F.array(F.lit(0)).alias("path"), F.lit("table").alias("kind"), "columns")
-    return validate.tables(head, rows)
+    rows = tree.nodes_of_lines(docs_of(spark, sf_dir)).where("kind = 'row'").select("doc_id", F.array(F.lit(0)).alias("path"), F.col("ord").alias("row_no"), F.size(F.split("text", " \\| ")).alias("spans"))
+    head = rows.groupBy("doc_id").agg(F.min_by("spans", "row_no").alias("columns"), F.min("row_no").alias("first"))
+    rows = rows.join(head.select("doc_id", "first"), "doc_id").withColumn("part", F.when(F.col("row_no") == F.col("first"), "head").otherwise("body")).drop("first")
+    return validate.tables(head.select("doc_id", F.array(F.lit(0)).alias("path"), F.lit("table").alias("kind"), "columns"), rows)
 
 
-@register("val12_emptiness", f"SELECT doc_id, {sev('error', 'E_MATH_EMPTY')}, CAST(i AS VARCHAR) AS path, 'empty formula' AS message FROM ({LINES}) WHERE trim(text) = ''")
+@register(
+    "val12_emptiness",
+    f"""SELECT doc_id, {sev('error', 'E_MATH_EMPTY')}, CAST(i AS VARCHAR) AS path, 'empty formula' AS message FROM ({LINES}) WHERE trim(text) = '' AND i % 2 = 0
+    UNION ALL SELECT conv_id, {sev('error', 'E_MATH_EMPTY')}, turn || '.1', 'empty formula' FROM conversations WHERE turn % 4 = 1
+    UNION ALL SELECT conv_id, {sev('warning', 'W_LIST_EMPTY')}, turn || '.0', 'empty list' FROM conversations WHERE role = 'user' AND turn % 4 = 0""",
+)
 def val12(spark, sf_dir):
-    n = tree.nodes_of_lines(docs_of(spark, sf_dir)).withColumn("kind", F.lit("math")).withColumn("items", F.lit(1))
-    return validate.emptiness(n)
+    n = tree.nodes_of_lines(docs_of(spark, sf_dir)).where("ord % 2 = 0").select("doc_id", "path", F.lit("math").alias("kind"), "text", F.lit(1).alias("items"))
+    t, turn = table(spark, sf_dir, "conversations"), F.col("turn").cast("int")
+    lists = t.select(F.col("conv_id").alias("doc_id"), F.array(turn, F.lit(0)).alias("path"), F.lit("list").alias("kind"), "text", F.when((F.col("role") == "user") & (turn % 4 == 0), 0).otherwise(2).alias("items"))
+    maths = t.select(F.col("conv_id").alias("doc_id"), F.array(turn, F.lit(1)).alias("path"), F.lit("math").alias("kind"), F.when(turn % 4 == 1, " ").otherwise(F.lit("x")).alias("text"), F.lit(None).cast("int").alias("items"))
+    return validate.emptiness(n.unionByName(lists).unionByName(maths))
 
 
 @register(
     "val13_field_ids",
-    f"""SELECT conv_id AS doc_id, {sev('error', 'E_FIELD_DUP')}, '(root)' AS path, role AS message FROM conversations GROUP BY conv_id, role HAVING count(*) > 1""",
+    f"""SELECT conv_id AS doc_id, {sev('error', 'E_FIELD_DUP')}, '(root)' AS path, role AS message FROM conversations GROUP BY conv_id, role HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT conv_id, {sev('error', 'E_FIELD_REF')}, '(root)', 'turn' || (turn % 3) FROM conversations WHERE turn % 3 > 0""",
 )
 def val13(spark, sf_dir):
-    return validate.field_ids(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("field_id"), F.array(F.col("role")).alias("refs")))
+    refs = F.array(F.col("role"), F.when(F.col("turn") % 3 > 0, F.concat(F.lit("turn"), (F.col("turn") % 3).cast("string"))).otherwise(F.col("role")))
+    return validate.field_ids(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("field_id"), refs.alias("refs")))
 
 
-@register("val14_inlines", f"SELECT conv_id AS doc_id, {sev('error', 'E_STYLE_REF')}, CAST(turn AS VARCHAR) AS path, 'unknown style' AS message FROM conversations WHERE turn >= 3")
+@register(
+    "val14_inlines",
+    f"""SELECT conv_id AS doc_id, {sev('error', 'E_STYLE_REF')}, CAST(turn AS VARCHAR) AS path, 'unknown style' AS message FROM conversations WHERE turn >= 3
+    UNION ALL SELECT conv_id, {sev('error', 'E_LINK_EMPTY')}, CAST(turn AS VARCHAR), 'empty link' FROM conversations WHERE role = 'user' AND turn % 4 = 2""",
+)
 def val14(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    spans = t.select(F.col("conv_id").alias("doc_id"), F.array(F.col("turn")).alias("path"), F.lit("span").alias("kind"), F.col("turn").alias("style_id"), F.lit("x").alias("href"))
+    kind = F.when(F.col("role") == "user", "link").otherwise("span")
+    href = F.when(F.col("turn") % 4 == 2, " ").otherwise("x")
+    spans = t.select(F.col("conv_id").alias("doc_id"), F.array(F.col("turn")).alias("path"), kind.alias("kind"), F.col("turn").alias("style_id"), href.alias("href"))
     return validate.inlines(spans, t.select(F.col("conv_id").alias("doc_id"), F.lit(3).alias("n_styles")).distinct())
 
 
@@ -276,9 +330,11 @@ def red1(spark, sf_dir):
     return redacted(spark, sf_dir).withColumn("path", scalar.path_text("path"))
 
 
-@register("red3_verify_proof", f"WITH n AS ({NODES}) SELECT doc_id, CAST(turn AS VARCHAR) AS path, true AS ok FROM n WHERE role = 'user' AND kind = 'sec'")
+@register("red3_verify_proof", f"WITH n AS ({NODES}) SELECT doc_id, CAST(turn AS VARCHAR) AS path, doc_id % 3 <> 0 AS ok FROM n WHERE role = 'user' AND kind = 'sec'")
 def red3(spark, sf_dir):
-    n = conversation(spark, sf_dir).withColumn("h", disclosure.block_hash(F.col("kind"), F.col("text")))
+    n = conversation(spark, sf_dir)
+    n = n.withColumn("text", F.when((F.col("doc_id") % 3 == 0) & (F.col("kind") == "p"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))  # changed since
+    n = n.withColumn("h", disclosure.block_hash(F.col("kind"), F.col("text")))
     whole = n.groupBy("doc_id", F.slice("path", 1, 1).alias("path")).agg(F.sha2(tree.listagg(F.col("h"), "ord", ""), 256).alias("h"))
     return disclosure.verify_proof(whole, redacted(spark, sf_dir).where("proof is not null")).withColumn("path", scalar.path_text("path"))
 
@@ -306,11 +362,21 @@ def dsc2(spark, sf_dir):
     return disclosure.disclose(disclosure.seal(n), n, want).select("doc_id", "i", "text", "problem")
 
 
-@register("dsc3_verify_disclosure", f"SELECT doc_id, CAST(0 AS INT) AS i, true AS root_ok, true AS leaf_ok, true AS valid, CAST(count(*) - 1 AS INT) AS hidden, true AS salted FROM ({LINES}) GROUP BY doc_id")
+@register(
+    "dsc3_verify_disclosure",
+    f"""WITH d AS (SELECT doc_id, CAST(count(*) - 1 AS INT) AS hidden, doc_id % 5 AS k FROM ({LINES}) GROUP BY doc_id)
+    SELECT doc_id, CAST(0 AS INT) AS i, k <> 1 AS root_ok, k NOT IN (1, 2, 3) AS leaf_ok, k NOT IN (1, 2, 3) AS valid, hidden, k <> 4 AS salted FROM d WHERE k <> 4
+    UNION ALL SELECT doc_id, 0, true, false, false, hidden, false FROM d WHERE k = 4""",
+)
 def dsc3(spark, sf_dir):
     n = tree.nodes_of_lines(docs_of(spark, sf_dir))
     sealed = disclosure.seal(n, salts_of(n))
-    bundles = disclosure.disclose(sealed, n, docs_of(spark, sf_dir).select("doc_id", F.lit(0).alias("i")), salts_of(n))
+    good = disclosure.disclose(sealed, n, docs_of(spark, sf_dir).select("doc_id", F.lit(0).alias("i")), salts_of(n))
+    k = F.col("doc_id") % 5
+    # 1: another leaf in its place, 2: changed text, 3: another salt, 4: no salt
+    bundles = good.withColumn("leaves", F.when(k == 1, F.transform("leaves", lambda x, j: F.when(j == 0, F.sha2(F.lit("x"), 256)).otherwise(x))).otherwise(F.col("leaves")))
+    bundles = bundles.withColumn("text", F.when(k == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    bundles = bundles.withColumn("salt", F.when(k == 3, "other").when(k != 4, F.col("salt")))
     return disclosure.verify_disclosure(bundles, disclosure.roots(sealed))
 
 
@@ -389,29 +455,79 @@ def log4(spark, sf_dir):
     return merkle.inclusion_paths(merkle.levels(log), log)
 
 
-@register("log5_verify_inclusion", f"SELECT idx, true AS ok FROM ({LOG})")
+@register("log5_verify_inclusion", f"SELECT idx, idx % 4 = 0 AS ok FROM ({LOG})")
 def log5(spark, sf_dir):
     log = log_of(spark, sf_dir)
     lv = merkle.levels(log)
-    return merkle.verify_inclusion(merkle.inclusion_paths(lv, log), log, merkle.head(lv).first()["root"])
+    k, other = F.col("idx") % 4, F.sha2(F.lit("x"), 256)
+    # 1: another entry, 2: a sibling on the way replaced, 3: the root of another tree
+    claimed = log.withColumn("entry", F.when(k == 1, F.unhex(other)).otherwise(F.col("entry"))).withColumn("root", F.when(k == 3, other).otherwise(F.lit(merkle.head(lv).first()["root"])))
+    paths = merkle.inclusion_paths(lv, log).withColumn("sibling", F.when((k == 2) & (F.col("step") == 0), other).otherwise(F.col("sibling")))
+    return merkle.verify_inclusion(paths, claimed, F.col("root"))
 
 
-@register(
-    "log6_prefix_roots",
-    f"""WITH RECURSIVE s AS (SELECT unnest([1, 7, 64]) AS n), l(n, level, idx, hash) AS (SELECT n, 0, idx, sha256(unhex('00') || unhex(entry)) FROM s JOIN ({LOG}) ON idx < n
+PREFIXES = (1, 2, 3, 7, 64, 100, 150)
+PREFIX_ROOTS = f"""s AS (SELECT unnest([{", ".join(map(str, PREFIXES))}]) AS n), pl(n, level, idx, hash) AS (SELECT n, 0, idx, sha256(unhex('00') || unhex(entry)) FROM s JOIN ({LOG}) ON idx < n
     UNION ALL SELECT n, level + 1, idx // 2, CASE WHEN hi IS NULL THEN lo ELSE sha256(unhex('01') || unhex(lo) || unhex(hi)) END FROM (
-      SELECT n, level, idx, hash AS lo, lead(hash) OVER (PARTITION BY n, level ORDER BY idx) AS hi, count(*) OVER (PARTITION BY n, level) AS c FROM l) WHERE idx % 2 = 0 AND c > 1)
-    SELECT CAST(n AS INT) AS n, arg_max(hash, level) AS root FROM l GROUP BY n""",
-)
+      SELECT n, level, idx, hash AS lo, lead(hash) OVER (PARTITION BY n, level ORDER BY idx) AS hi, count(*) OVER (PARTITION BY n, level) AS c FROM pl) WHERE idx % 2 = 0 AND c > 1)"""
+
+
+@register("log6_prefix_roots", f"WITH RECURSIVE {PREFIX_ROOTS} SELECT CAST(n AS INT) AS n, arg_max(hash, level) AS root FROM pl GROUP BY n")
 def log6(spark, sf_dir):
     log = log_of(spark, sf_dir)
-    return spark.createDataFrame([(n, merkle.root_of_prefix(log, n)) for n in (1, 7, 64)], "n int, root string")
+    return spark.createDataFrame([(n, merkle.root_of_prefix(log, n)) for n in PREFIXES], "n int, root string")
 
 
-@register("log7_tree_head_bytes", f"SELECT idx, lpad(lower(to_hex(idx)), 16, '0') || entry AS head FROM ({LOG})")
+@register(
+    "log6_consistency_proofs",
+    f"""WITH RECURSIVE {LEVELS}, s AS (SELECT unnest([{", ".join(map(str, PREFIXES))}]) AS m, (SELECT count(*) FROM documents) AS n),
+    w(m, lo, hi, whole, depth, a, z) AS (SELECT m, CAST(0 AS BIGINT), n, true, 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM s
+      UNION ALL SELECT m, CASE WHEN m - lo <= k THEN lo ELSE lo + k END, CASE WHEN m - lo <= k THEN lo + k ELSE hi END, whole AND m - lo <= k, depth + 1,
+        CASE WHEN m - lo <= k THEN lo + k ELSE lo END, CASE WHEN m - lo <= k THEN hi ELSE lo + k END
+      FROM (SELECT *, CAST(pow(2, length(bin(hi - lo - 1)) - 1) AS BIGINT) AS k FROM w WHERE hi > m OR lo > m OR (hi - lo > 1 AND m < hi))),
+    r AS (SELECT m, depth, a, z FROM w WHERE depth > 0 UNION ALL SELECT m, max(depth) + 1, arg_max(lo, depth), arg_max(hi, depth) FROM w GROUP BY m HAVING NOT arg_max(whole, depth)),
+    o AS (SELECT m, row_number() OVER (PARTITION BY m ORDER BY depth DESC) - 1 AS step, a, CASE WHEN z - a = 1 THEN 0 ELSE length(bin(z - a - 1)) END AS level FROM r)
+    SELECT m, CAST(step AS INT) AS step, hash FROM o JOIN l ON l.level = o.level AND l.idx = o.a >> o.level""",
+)
+def log6_proofs(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    lv = merkle.levels(log)
+    return merkle.consistency_proofs(lv, list(PREFIXES), lv.where("level = 0").count())
+
+
+@register(
+    "log6_verify_consistency",
+    f"SELECT CAST(m AS BIGINT) AS m, what, what = 'as it is' AS ok FROM (SELECT unnest([{', '.join(map(str, PREFIXES))}]) AS m), (SELECT unnest(['as it is', 'entry changed', 'step changed', 'step missing', 'step added']) AS what)",
+)
+def log6_verify(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    lv = merkle.levels(log)
+    top = merkle.head(lv).first()
+    path = merkle.consistency_proofs(lv, list(PREFIXES), top["size"]).groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "hash"))), lambda x: x["hash"]).alias("path"))
+    roots = spark.createDataFrame([(m, merkle.root_of_prefix(log, m)) for m in PREFIXES], "m bigint, root_m string")
+    proofs = roots.join(path, "m").select("m", F.lit(top["size"]).alias("n"), "root_m", F.lit(top["root"]).alias("root_n"), "path")
+    other, end = F.sha2(F.lit("x"), 256), F.size("path")
+    case = lambda what, r, p: F.struct(F.lit(what).alias("what"), r.alias("r"), p.alias("p"))
+    root, path = F.col("root_m"), F.col("path")
+    cases = F.array(
+        case("as it is", root, path), case("entry changed", other, path), case("step changed", root, F.concat(F.slice(path, F.lit(1), end - 1), F.array(other))),
+        case("step missing", root, F.slice(path, F.lit(1), end - 1)), case("step added", root, F.concat(path, F.array(other))),
+    )
+    rows = proofs.select("m", "n", "root_n", F.explode(cases).alias("c")).select("m", "n", F.col("c.r").alias("root_m"), "root_n", F.col("c.p").alias("path"), "c.what")
+    return merkle.verify_consistency(rows).select("m", "what", "ok")
+
+
+@register("log7_tree_head_bytes", f"SELECT idx, substr(lpad(lower(to_hex(idx + 1)), 16, '0') || entry, 1, 80) AS head, CAST(136 AS INT) AS n_bytes, idx % 3 = 0 AS ok FROM ({LOG})")
 def log7(spark, sf_dir):
-    none = F.lit("").cast("binary")
-    return log_of(spark, sf_dir).select("idx", F.lower(F.hex(merkle.tree_head_bytes(F.col("idx"), F.hex("entry"), none, none))).alias("head"))
+    """Signed heads of 136 bytes; of three, one is as signed, one has another size, one another key."""
+    seed, k = bytes([42]) * 32, F.col("idx") % 3
+    said = F.concat(F.unhex(F.lpad(F.hex(F.col("idx") + 1), 16, "0")), F.col("entry"))
+    t = log_of(spark, sf_dir).withColumn("said", said).withColumn("sig", ed25519.signed(F.col("said"), seed))
+    key = F.lit(ed25519.public_key(seed))
+    t = t.withColumn("head", merkle.tree_head_bytes(F.col("idx") + 1, F.hex("entry"), key, F.col("sig")))
+    heard = F.when(k == 1, F.concat(F.unhex(F.lpad(F.hex(F.col("idx") + 2), 16, "0")), F.col("entry"))).otherwise(F.substring("head", 1, 40))
+    by = F.when(k == 2, F.lit(ed25519.public_key(bytes([7]) * 32))).otherwise(F.substring("head", 41, 32))
+    return t.select("idx", F.substring(F.lower(F.hex("head")), 1, 80).alias("head"), F.octet_length("head").alias("n_bytes"), ed25519.verified(by, heard, F.substring("head", 73, 64)).alias("ok"))
 
 
 @register("log8_parse_records", f"SELECT idx, entry FROM ({LOG})")
@@ -420,9 +536,8 @@ def log8(spark, sf_dir):
     # one small file of records for each stretch of 256 entries, read back and put in place
     part = log.groupBy((F.col("idx") / 256).cast("bigint").alias("part")).agg(tree.listagg(F.hex("entry"), "idx", "").alias("x"))
     data = part.select("part", F.concat(F.lit(b"LOG1"), F.unhex("x")).alias("content"))
-    n = ((F.octet_length("content") - 4) / 32).cast("int")
-    rows = data.select("part", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    return rows.select((F.col("part") * 256 + F.col("k")).alias("idx"), F.lower(F.hex(F.expr("substring(content, 4 + k * 32 + 1, 32)"))).alias("entry"))
+    rows = merkle.parse_records(data.unionByName(data.withColumn("content", F.concat(F.lit(b"LOG0"), "content"))), b"LOG1", ("part",))
+    return rows.select((F.col("part") * 256 + F.col("idx")).alias("idx"), F.lower(F.hex("entry")).alias("entry"))
 
 
 @register("log9_find", f"SELECT min(idx) AS idx FROM ({LOG}) WHERE entry = (SELECT sha256(text) FROM documents ORDER BY doc_id DESC LIMIT 1)")
@@ -493,11 +608,17 @@ def lay14(spark, sf_dir):
 
 @register(
     "lay18_image_size",
-    "SELECT p_partkey, CAST(least((CAST(p_size AS BIGINT) * 100 * 25400 + 48) // 96, 170000) AS BIGINT) AS w FROM part",
+    """WITH s AS (SELECT p_partkey, p_partkey % 5 > 0 AS png, CAST(p_size AS BIGINT) * 100 AS px, CAST(p_size AS BIGINT) * 50 AS py FROM part),
+    m AS (SELECT p_partkey, CASE WHEN png THEN (px * 25400 + 48) // 96 ELSE 40000 END AS w, CASE WHEN png THEN (py * 25400 + 48) // 96 ELSE 30000 END AS h FROM s)
+    SELECT p_partkey, CAST(least(w, 170000) AS BIGINT) AS w, CAST(CASE WHEN w > 170000 THEN (h * 170000 + w // 2) // w ELSE h END AS BIGINT) AS h FROM m""",
 )
 def lay18(spark, sf_dir):
-    s = layout.image_size(F.col("p_size").cast("bigint") * 100, F.col("p_size").cast("bigint") * 50, 170000)
-    return table(spark, sf_dir, "part").select("p_partkey", s["w"].alias("w"))
+    """Sizes from the headers of PNG data; every fifth part has data of another kind."""
+    n = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    magic = F.unhex(F.when(F.col("p_partkey") % 5 > 0, "89504E470D0A1A0A").otherwise("FFD8FFE000104A46"))
+    data = F.concat(magic, F.unhex(F.lit("0000000D49484452")), n(F.col("p_size").cast("bigint") * 100), n(F.col("p_size").cast("bigint") * 50))
+    t = table(spark, sf_dir, "part").select("p_partkey", layout.png_dimensions(data).alias("d"))
+    return t.select("p_partkey", layout.image_size(F.col("d.w"), F.col("d.h"), 170000).alias("s")).select("p_partkey", "s.w", "s.h")
 
 
 @register("lay21_page_index", "SELECT doc_id, page_no, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM (SELECT doc_id, i // 5 AS page_no, sha256(text) AS id FROM (" + LINES + ")) GROUP BY doc_id, page_no")

@@ -86,17 +86,33 @@ def table_at(lines: list[Line], i: int) -> int:
     return j - i
 
 
+def apart(values: list[float]) -> list[float]:
+    """Sorted values, those within 1 of the one kept before left out."""
+    out: list[float] = []
+    for v in sorted(values):
+        if not out or v - out[-1] >= 1.0:
+            out.append(v)
+    return out
+
+
 def column_cut(fragments: list[Fragment]) -> float | None:
-    """The x that separates two columns best: both sides hold 3 or more, few fragments cross it."""
-    edges = sorted({f.end for f in fragments} | {f.x for f in fragments})
-    gaps = [(a + b) / 2 for a, b in zip(edges, edges[1:], strict=False) if b - a > 0]
-    step = max(1, len(gaps) // MAX_CUTS)
+    """The x that separates two columns best, leftmost among equals.
+
+    Cuts are tried in the middle of gaps of over two sizes between neighbours of a row and of over 24 between any
+    edges; of many, every k-th over the whole width. A row supports the side it has text on; rows that a fragment crosses the
+    cut in support neither, and may be no more than the support, which is 3 rows or more on either side.
+    """
+    lines = [sorted(r, key=lambda f: f.x) for r in rows(fragments)]
+    tried = [(a.end + b.x) / 2 for r in lines for a, b in zip(r, r[1:], strict=False) if b.x - a.end > 2.0 * max(a.size, b.size)]
+    edges = apart([v for f in fragments for v in (f.x, f.end)])
+    tried = apart(tried + [(a + b) / 2 for a, b in zip(edges, edges[1:], strict=False) if b - a > 24.0])
     best, score = None, 0
-    for cut in gaps[::step][:MAX_CUTS]:
-        left, right = sum(f.end <= cut for f in fragments), sum(f.x >= cut for f in fragments)
-        crossing = sum(f.x < cut < f.end for f in fragments)
+    for cut in tried[:: max(1, -(-len(tried) // MAX_CUTS))]:
+        crossed = [any(f.x < cut < f.end for f in r) for r in lines]
+        left = sum(not c and any(f.end <= cut for f in r) for r, c in zip(lines, crossed, strict=True))
+        right = sum(not c and any(f.x >= cut for f in r) for r, c in zip(lines, crossed, strict=True))
         support = min(left, right)
-        if support >= 3 and crossing == 0 and support > score:
+        if support >= 3 and sum(crossed) <= support and support > score:
             best, score = cut, support
     return best
 
@@ -106,7 +122,21 @@ def bands(fragments: list[Fragment], depth: int = 0) -> list[list[Fragment]]:
     cut = column_cut(fragments) if depth < MAX_DEPTH and len(fragments) >= 6 else None
     if cut is None or table_like(fragments):
         return [fragments]
-    return [*bands([f for f in fragments if f.end <= cut], depth + 1), *bands([f for f in fragments if f.x >= cut], depth + 1)]
+    wide = [f for f in fragments if f.x < cut < f.end]
+    if not wide:
+        return [*bands([f for f in fragments if f.end <= cut], depth + 1), *bands([f for f in fragments if f.x >= cut], depth + 1)]
+    # rows that cross the cut stand between the stretches of columns above and below them
+    out, stretch, crossing = [], [], []
+    for r in rows(fragments):
+        own = any(f in wide for f in r)
+        if own and stretch:
+            out += bands(stretch, depth + 1)
+            stretch = []
+        elif not own and crossing:
+            out.append(crossing)
+            crossing = []
+        (crossing if own else stretch).extend(r)
+    return out + ([crossing] if crossing else []) + (bands(stretch, depth + 1) if stretch else [])
 
 
 def table_like(fragments: list[Fragment]) -> bool:
