@@ -28,6 +28,14 @@ def nodes_of_conversations(turns: DataFrame) -> DataFrame:
     return sec.union(par)
 
 
+def nodes_of_dialogues(turns: DataFrame) -> DataFrame:
+    """A conversation as a document: a section for each turn, holding a paragraph for each sentence."""
+    t, path = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("t"), "text"), F.array("t")
+    sec = t.select("doc_id", path.alias("path"), F.lit(1).alias("depth"), F.lit("sec").alias("kind"), F.lit(None).cast("string").alias("text"))
+    par = t.select("doc_id", "t", F.posexplode(F.split("text", "\\. ")).alias("k", "text"))
+    return sec.unionByName(par.select("doc_id", F.array("t", "k").alias("path"), F.lit(2).alias("depth"), F.lit("p").alias("kind"), "text"))
+
+
 def listagg(value: Column, order: str, sep: str) -> Column:
     """Texts of a group joined in order."""
     got = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
@@ -130,33 +138,69 @@ def heading_level(size: Column, median: Column, text: Column) -> Column:
 # -- structural diff -------------------------------------------------------------------------
 
 
+#: Nodes whose children are compared one by one; all others are compared whole.
+CONTAINERS = ("doc", "sec", "salted")
+
+
+def with_roots(nodes: DataFrame) -> DataFrame:
+    """``(doc_id, path, kind, text)`` of the nodes, and a root of kind doc for each document."""
+    own = nodes.where("size(path) > 0").select("doc_id", F.col("path").cast("array<int>").alias("path"), "kind", "text")
+    root = nodes.select("doc_id").distinct().select("doc_id", F.array().cast("array<int>").alias("path"), F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("text"))
+    return own.unionByName(root)
+
+
+def subtrees(nodes: DataFrame) -> DataFrame:
+    """The nodes with ``tree``, the hash of their subtree's kinds and texts in order, and ``kids``, their children.
+
+    Every node reports to each of its ancestors (as many rows as its depth), so one shuffle serves all levels.
+    """
+    n = with_roots(nodes)
+    h = F.sha2(F.concat_ws("\x1f", "kind", F.coalesce("text", F.lit(""))), 256)
+    up = n.select("doc_id", F.col("path").alias("own"), h.alias("h"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("path"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct(F.col("own").alias("o"), F.concat(F.size("own").cast("string"), F.lit(":"), "h").alias("v")))), lambda x: x["v"])
+    by = up.groupBy("doc_id", "path").agg(F.sha2(F.array_join(told, ""), 256).alias("tree"), F.count_if(F.size("own") == F.size("path") + 1).alias("kids"))
+    return n.join(by, ["doc_id", "path"])
+
+
+def topmost(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose path has no proper prefix among the rows of the same keys."""
+    above = rows.select(*keys, F.col("path").alias("of"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("path"))
+    covered = above.where("size(path) < size(of)").join(rows.select(*keys, "path"), [*keys, "path"], "left_semi").select(*keys, F.col("of").alias("path")).distinct()
+    return rows.join(covered, [*keys, "path"], "left_anti")
+
+
+def _first(rows: DataFrame, most: int) -> DataFrame:
+    w = Window.partitionBy("doc_id", "predecessor").orderBy("path")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
 def structural_diff(left: DataFrame, right: DataFrame, pairs: DataFrame, most: int = 200) -> DataFrame:
-    """Changed paths of flat documents paired by ``pairs(doc_id, predecessor)``.
+    """``(doc_id, predecessor, path)``: where documents paired by ``pairs(doc_id, predecessor)`` differ.
 
-    Differing child counts are reported at the root and not descended into; otherwise
-    each path whose content differs, at most ``most`` per pair.
+    Equal subtrees are passed over. A node of another kind, a container with another number of children and
+    anything else that differs is reported and not descended into; at most ``most`` places of a pair, in reading order.
     """
-    h = lambda n: n.select("doc_id", "ord", F.sha2(F.concat_ws("\x1f", "kind", "text"), 256).alias("h"))
-    counts = lambda n: n.groupBy("doc_id").agg(F.count("*").alias("n"))
-    a, b = h(left), h(right)
-    p = pairs.join(counts(right).withColumnRenamed("n", "nb"), "doc_id").join(counts(left).select(F.col("doc_id").alias("predecessor"), F.col("n").alias("na")), "predecessor")
-    root = p.where("na <> nb").select("doc_id", "predecessor", F.lit("(root)").alias("path"), F.lit(-1).cast("bigint").alias("ord"))
-    same = p.where("na = nb").select("doc_id", "predecessor")
-    lines = same.join(b.withColumnRenamed("h", "hb"), "doc_id").join(a.select(F.col("doc_id").alias("predecessor"), "ord", "h"), ["predecessor", "ord"]).where("h <> hb")
-    changed = lines.select("doc_id", "predecessor", F.col("ord").cast("string").alias("path"), "ord")
-    w = Window.partitionBy("doc_id", "predecessor").orderBy("ord")
-    return root.union(changed).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("doc_id", "predecessor", "path")
+    a, b = (subtrees(n).select("doc_id", "path", *(F.col(c).alias(f"{c}_{x}") for c in ("kind", "tree", "kids"))) for n, x in ((left, "a"), (right, "b")))
+    j = pairs.join(b, "doc_id").join(a.withColumnRenamed("doc_id", "predecessor"), ["predecessor", "path"]).where("tree_a <> tree_b")
+    stop = (F.col("kind_a") != F.col("kind_b")) | ~F.col("kind_b").isin(*CONTAINERS) | (F.col("kids_a") != F.col("kids_b"))
+    from docledger.functions.scalar import path_text
+
+    found = topmost(j.where(stop).select("doc_id", "predecessor", "path"), ["doc_id", "predecessor"])
+    return _first(found, most).select("doc_id", "predecessor", path_text("path").alias("path"))
 
 
 def redline(left: DataFrame, right: DataFrame, pairs: DataFrame, most: int = 500) -> DataFrame:
-    """``(doc_id, predecessor, ord, change)``: insert, delete or change at each place, to the longer length."""
-    a = pairs.join(left.select(F.col("doc_id").alias("predecessor"), "ord", F.col("text").alias("old")), "predecessor")
-    b = pairs.join(right.select("doc_id", "ord", F.col("text").alias("new")), "doc_id")
-    j = a.join(b, ["doc_id", "predecessor", "ord"], "full_outer")
-    change = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("old") != F.col("new"), "change")
-    out = j.select("doc_id", "predecessor", "ord", change.alias("change")).where("change is not null")
-    w = Window.partitionBy("doc_id", "predecessor").orderBy("ord")
-    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    """``(doc_id, predecessor, path, ord, change)``: insert, delete or change, child by child to the longer length.
+
+    ``ord`` is the last step of the path. Containers of one kind are descended into whatever their numbers of children.
+    """
+    a = pairs.join(subtrees(left).select(F.col("doc_id").alias("predecessor"), "path", F.col("kind").alias("kind_a"), F.col("tree").alias("tree_a")), "predecessor")
+    b = pairs.join(subtrees(right).select("doc_id", "path", F.col("kind").alias("kind_b"), F.col("tree").alias("tree_b")), "doc_id")
+    j = a.join(b, ["doc_id", "predecessor", "path"], "full_outer")
+    same_kind = F.col("kind_a") == F.col("kind_b")
+    change = F.when(F.col("kind_a").isNull(), "insert").when(F.col("kind_b").isNull(), "delete").when(~same_kind | (~F.col("kind_b").isin(*CONTAINERS) & (F.col("tree_a") != F.col("tree_b"))), "change")
+    found = topmost(j.select("doc_id", "predecessor", "path", change.alias("change")).where("change is not null"), ["doc_id", "predecessor"])
+    return _first(found, most).select("doc_id", "predecessor", "path", F.try_element_at("path", F.lit(-1)).cast("bigint").alias("ord"), "change")
 
 
 def amendments(docs: DataFrame, series: str) -> DataFrame:

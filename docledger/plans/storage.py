@@ -14,9 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; the warehouse folder where none is set."""
+    """The cluster's shared checkpoint folder. Where none is set: the warehouse folder, if every process can see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/docledger-stage"
+    if named:
+        return named
+    place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (":" not in place or place.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return place + "/docledger-stage"
+
+
+#: Tables this process wrote and has not deleted yet.
+_written: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -26,6 +35,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _written[path] = spark
     return out
 
 
@@ -33,9 +43,21 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by ``materialize`` once no pending plan reads it."""
     path = getattr(df, "stored_at", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep() -> int:
+    """Delete every table that ``materialize`` wrote in this process; for jobs whose results are stored or collected."""
+    done = list(_written.items())
+    for path, spark in done:
+        _delete(spark, path)
+    return len(done)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _written.pop(path, None)
 
 
 def release(spark: SparkSession) -> None:

@@ -216,7 +216,7 @@ def dif3(spark, sf_dir):
 )
 def dif4(spark, sf_dir):
     n = tree.nodes_of_lines(docs_of(spark, sf_dir))
-    return tree.redline(n, n, tree.amendments(docs_of(spark, sf_dir), "source"))
+    return tree.redline(n, n, tree.amendments(docs_of(spark, sf_dir), "source")).drop("path")
 
 
 @register(

@@ -692,13 +692,3 @@ def fn14(spark, sf_dir):
 def enc2(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_orderkey") * F.col("l_partkey") * F.col("l_linenumber"))
     return li.select(*KEYS, scalar.head_bytes(0, "n").alias("head"))
-
-
-@register(
-    "src31_migrate",
-    "SELECT 'text' AS kind, count(*) AS files, count(*) FILTER (length(trim(text)) = 0) AS failed FROM documents UNION ALL SELECT 'html', count(*), count(*) FILTER (NOT contains(html, '<body')) FROM pages",
-)
-def src31(spark, sf_dir):
-    d = docs_of(spark, sf_dir).select(F.lit("text").alias("kind"), (F.length(F.trim("text")) == 0).alias("bad"))
-    p = table(spark, sf_dir, "pages").select(F.lit("html").alias("kind"), (~F.contains("html", F.lit("<body"))).alias("bad"))
-    return d.union(p).groupBy("kind").agg(F.count("*").alias("files"), F.count_if("bad").alias("failed"))

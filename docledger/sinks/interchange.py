@@ -107,7 +107,8 @@ def typst_inlines(inlines: list) -> str:
         if isinstance(x, str):
             out.append(typst_escape(x))
         elif x["kind"] == "link":
-            out.append(f'#link("{x["href"]}")[{typst_inlines(x["children"])}]'.replace("\\", "\\\\") if '"' in x["href"] else f'#link("{x["href"]}")[{typst_inlines(x["children"])}]')
+            to = x["href"].replace("\\", "\\\\").replace('"', '\\"')
+            out.append(f'#link("{to}")[{typst_inlines(x["children"])}]')
         elif x["kind"] == "math":
             out.append(typst_escape(x["text"]))
         elif x["kind"] == "fnref":

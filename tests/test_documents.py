@@ -174,3 +174,44 @@ def test_validation_gates_and_roll_up(spark):
     rest = validate.gated(validate.language(docs), stop)
     out = {r.doc_id: (r.valid, r.errors) for r in validate.roll_up(docs, validate.report(stop, rest)).collect()}
     assert out == {1: (True, 0), 2: (False, 1), 3: (False, 1)}
+
+
+def test_nested_diffs_stop_at_the_topmost_place(spark):
+    from docledger.operators import tree
+
+    schema = "doc_id bigint, path array<int>, kind string, text string"
+    a = [([0], "sec", None), ([0, 0], "p", "x"), ([0, 1], "sec", None), ([0, 1, 0], "p", "deep"), ([1], "list", None), ([1, 0, 0], "p", "one"), ([2], "p", "same"), ([3], "p", "t")]
+    b = [([0], "sec", None), ([0, 0], "p", "x"), ([0, 1], "sec", None), ([0, 1, 0], "p", "deeper"), ([1], "list", None), ([1, 0, 0], "p", "two"), ([2], "p", "same"), ([3], "code", "t")]
+    c = [*b[:4], ([0, 2], "p", "more"), *b[4:]]
+    rows = [(k, *x) for k, doc in enumerate((a, b, c, [])) for x in doc]
+    n = spark.createDataFrame(rows, schema)
+    pairs = spark.createDataFrame([(1, 0), (2, 1), (2, 2)], "doc_id bigint, predecessor bigint")
+    diff = {(r.doc_id, r.path) for r in tree.structural_diff(n, n, pairs).collect()}
+    assert diff == {(1, "0.1.0"), (1, "1"), (1, "3"), (2, "0")}
+    red = {(r.doc_id, tuple(r.path), r.change) for r in tree.redline(n, n, pairs).collect()}
+    assert red == {(1, (0, 1, 0), "change"), (1, (1,), "change"), (1, (3,), "change"), (2, (0, 2), "insert")}
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    from docledger.plans import storage
+
+    class Session:
+        def __init__(self, master, place, named=None):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = type("F", (), {"get": staticmethod(lambda k, d=None: named if k == "spark.checkpoint.dir" else place)})
+
+    assert storage.shared_dir(Session("spark://a", "/x", "hdfs:///s")) == "hdfs:///s"
+    assert storage.shared_dir(Session("local[4]", "/x")) == "/x/docledger-stage"
+    assert storage.shared_dir(Session("spark://a", "s3a://b/w")).startswith("s3a://b/w")
+    for place in ("/x", "file:/x"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(Session("spark://a", place))
+
+
+def test_links_and_strikeout_in_exchange_formats():
+    from docledger.sinks import interchange
+    from docledger.sources import authoring
+
+    assert interchange.typst_inlines([{"kind": "link", "href": 'a"b\\c', "children": ["x*"]}]) == '#link("a\\"b\\\\c")[x\\*]'
+    got = authoring.parse_pandoc('{"pandoc-api-version":[1,23],"meta":{},"blocks":[{"t":"Para","c":[{"t":"Strikeout","c":[{"t":"Str","c":"gone"}]},{"t":"Strikeout","c":[]}]}]}')
+    assert got == [{"kind": "p", "inlines": ["gone"]}]
