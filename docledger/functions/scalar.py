@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +69,31 @@ def decode_named(c) -> Column:
     return replace_all(c, [*pairs, ("&amp;", "&")])
 
 
+REFERENCE = re.compile(r"&(?:#[xX]([0-9A-Fa-f]+)|#([0-9]+)|([A-Za-z0-9]+));")
+
+
+def decode_text(text: str) -> str:
+    """Named and numeric character references of at most 31 characters, each decoded once; others stay as they are."""
+
+    def one(m) -> str:
+        code = int(m[1], 16) if m[1] else int(m[2]) if m[2] else None
+        if len(m[0]) > 33 or (code is not None and (code > 0x10FFFF or 0xD800 <= code <= 0xDFFF)):
+            return m[0]
+        return ENTITIES.get(m[3], m[0]) if code is None else chr(code)
+
+    return REFERENCE.sub(one, text)
+
+
+def decode_entities(c) -> Column:
+    """``decode_text`` of a column, by Arrow batch."""
+
+    @F.pandas_udf("string")
+    def run(s):
+        return s.map(lambda t: t if t is None or "&" not in t else decode_text(t))
+
+    return run(_col(c))
+
+
 def collapse_keep(c) -> Column:
     """Runs of white space become one space; an edge space stays."""
     return F.regexp_replace(_col(c), "(?U)\\s+", " ")

@@ -52,6 +52,28 @@ def paginate(blocks: Column, page: int) -> Column:
     return F.aggregate(blocks, start, step, lambda s: s["pages"])
 
 
+def place_blocks(blocks: Column, page: int, line: int) -> Column:
+    """Page numbers of ``array<struct<h, before, after, force, keep>>``; null for forced breaks, which take no room.
+
+    Between two blocks stands the larger of the space after the one and before the other, none at a page's top.
+    A forced break starts a page unless one has just begun; a block that keeps with the next needs room for one
+    more line; one taller than a page starts at the top of one.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("pages"), F.lit(1).alias("no"), F.lit(0).cast("bigint").alias("y"), F.lit(True).alias("top"), F.lit(0).cast("bigint").alias("after"))
+
+    def step(s, b):
+        gap = F.when(s["top"], F.lit(0)).otherwise(F.greatest(s["after"], b["before"]))
+        new = ~s["top"] & (b["force"] | (s["y"] + gap + b["h"] + F.when(b["keep"], line).otherwise(0) > page))
+        no = F.when(new, s["no"] + 1).otherwise(s["no"])
+        y = F.when(b["force"], F.when(new, 0).otherwise(s["y"])).when(new, b["h"]).otherwise(s["y"] + gap + b["h"]).cast("bigint")
+        return F.struct(
+            F.array_append(s["pages"], F.when(~b["force"], no)).alias("pages"), no.alias("no"), y.alias("y"),
+            F.when(b["force"], new | s["top"]).otherwise(F.lit(False)).alias("top"), F.when(b["force"], s["after"]).otherwise(b["after"]).cast("bigint").alias("after"),
+        )
+
+    return F.aggregate(blocks, start, step, lambda s: s["pages"])
+
+
 #: Marks that may not start, or end, a line. Fixed values.
 NO_START, NO_END = "、。，．・：；？！）」』】〕〉》ー々", "（「『【〔〈《"
 

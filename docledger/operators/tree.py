@@ -55,6 +55,72 @@ def extract(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", F.concat(F.rtrim(F.regexp_replace("text", "\\s+$", "")), F.lit("\n")).alias("text"))
 
 
+def _rendered(rows: list[dict]) -> str:
+    """A document's node rows, in reading order, as plain text."""
+    kids: dict[tuple, list] = {}
+    for r in rows:
+        if r["path"]:
+            kids.setdefault(tuple(r["path"]), []).append(r)
+    below: dict[tuple, list[tuple]] = {}
+    for path in sorted(kids):
+        for k in range(len(path)):
+            below.setdefault(path[:k], []).append(path)
+
+    def children(path: tuple) -> list[tuple]:
+        return [p for p in below.get(path, ()) if len(p) == len(path) + 1]
+
+    def walk(path: tuple) -> str:
+        return "".join(block(r, path) for r in kids[path])
+
+    def block(r: dict, path: tuple) -> str:
+        kind, text = r["kind"], r["text"] or ""
+        if kind in ("doc", "sec", "salted"):
+            return "".join(walk(p) for p in children(path))
+        if kind == "list":
+            items = sorted({p[: len(path) + 1] for p in below.get(path, ())})
+            told = ("".join(walk(p) for p in children(i)).strip() for i in items)
+            return "".join(f"{f'{n}. ' if r['ordered'] else '- '}{t}\n" for n, t in enumerate(told, 1)) + "\n"
+        if kind == "table":
+            out, last = [], None
+            for p in children(path):
+                for c in kids[p]:
+                    row = c["row"]
+                    inner = (c["text"] or "") + "".join(walk(q) for q in children(p))
+                    out.append(("" if last is None else "\t" if row == last else "\n") + inner.strip().replace("\n", " "))
+                    last = row
+            return "".join(out) + ("\n\n" if out else "\n")
+        if kind == "fig":
+            return f"[{r['alt'] or ''}]{' ' + text if text else ''}\n\n"
+        if kind == "field":
+            return f"[{text}: ____]\n\n"
+        if kind == "redacted":
+            return f"[REDACTED{': ' + text if text else ''}]\n\n"
+        return "" if kind == "pagebreak" else text + "\n\n"
+
+    out = "".join(walk(p) for p in children(())).rstrip()
+    return out + "\n" if out else ""
+
+
+def extract_trees(nodes: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of nested documents: numbered and marked items, rows of cells, captions, fields, redactions.
+
+    ``nodes`` are rows of an importer (``doc_id, path, ord, kind, ordered, text, alt, row``; ``row`` numbers a cell's table
+    row). A document's nodes meet in one row, which is bounded by the document.
+    """
+    import pyarrow as pa
+
+    fields = F.struct("ord", F.col("path").cast("array<int>").alias("path"), "kind", "ordered", "text", "alt", "row")
+    per = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("rows"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_rendered(x) for x in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return per.mapInArrow(run, "doc_id bigint, text string")
+
+
 def preview(kind: Column, level: Column, text: Column) -> Column:
     """One line that names a node's kind: ``[h1] ...``, ``[code] ...``, bullets, cells by bars."""
     return F.when(kind == "h", F.concat(F.lit("[h"), level.cast("string"), F.lit("] "), text)).when(kind == "code", F.concat(F.lit("[code] "), text)).when(kind == "li", F.concat(F.lit("• "), text)).when(kind == "sec", F.lit("[section]")).otherwise(text)

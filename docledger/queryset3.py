@@ -447,3 +447,112 @@ def src31(spark, sf_dir):
     files.write_files(d.union(p).union(other), folder).agg(F.sum("n_bytes")).collect()
     rows = corpus.migrate(spark, folder).where("depth = 0").withColumn("ext", F.regexp_extract("path_of", "([a-z]+)$", 1))
     return rows.groupBy("ext").agg(F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+@register("src2_container_integrity", "SELECT doc_id, doc_id % 5 = 0 AS whole FROM documents")
+def src2(spark, sf_dir):
+    """Containers as packed, with a byte changed in the middle, cut short, with another magic, with bytes behind them."""
+    packed = container.pack(objects_of(spark, sf_dir).select("doc_id", "bytes"))
+    k, n, c = F.col("doc_id") % 5, F.octet_length("content"), F.col("content")
+    at = F.floor(n / 2).cast("int")
+    other = F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(c, at, 1)), 16, 10).cast("bigint").bitwiseXOR(F.lit(255))), 2, "0"))
+    sent = F.when(k == 1, F.concat(F.substring(c, F.lit(1), at - 1), other, F.substring(c, at + 1, n))).when(k == 2, F.substring(c, F.lit(1), n - 7)).when(k == 3, F.concat(F.lit(b"?"), F.substring(c, F.lit(2), n))).when(k == 4, F.concat(c, F.lit(b"more"))).otherwise(c)
+
+    def run(batches):
+        for b in batches:
+            got = container.read_many(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([not isinstance(x, container.BadContainer) for x in got], pa.bool_())], names=["doc_id", "whole"])
+
+    return packed.select("doc_id", sent.alias("content")).mapInArrow(run, "doc_id bigint, whole boolean")
+
+
+def wire_verdict(enc, dec, value):
+    """For a text that begins with 0 to 3: same, unknown key, missing key, more bytes; what the decoder says."""
+
+    def verdict(t):
+        v = value(t[1:])
+        raw, first = enc(v), sorted(v)[0]
+        if t[0] == "1":
+            raw = codecs.encode({**v, "zz": [1]})
+        elif t[0] == "2":
+            raw = codecs.encode({k: x for k, x in v.items() if k != first})
+        elif t[0] == "3":
+            raw += b"\0"
+        try:
+            return "same" if enc(dec(raw)) == raw else "other bytes"
+        except codecs.CodecError:
+            return "refused"
+
+    return verdict
+
+
+def wire_query(name, enc, dec, value, dropped="refused"):
+    @register(name, f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'same' WHEN 2 THEN '{dropped}' ELSE 'refused' END AS verdict FROM documents")
+    def q(spark, sf_dir):
+        d = docs_of(spark, sf_dir).select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.substring("text", 1, 200)).alias("text"))
+        return mapped(d, "doc_id", "text", wire_verdict(enc, dec, value)).select("doc_id", F.col("v").alias("verdict"))
+
+    return q
+
+
+# a layer may lack any field, so one without its first field is whole
+wire_query("frm20_layer_wire", wire.encode_layer, wire.decode_layer, lambda t: {"a": len(t), "b": t, "c": len(t) % 2 == 0}, "same")
+wire_query("sig6_signature_wire", wire.encode_signature, wire.decode_signature, lambda t: {"scope": "document", "alg": "ed25519", "target": t.encode()[:32], "key": b"k" * 32, "sig": b"s" * 64})
+wire_query("dsc4_bundle_wire", wire.encode_bundle, wire.decode_bundle, lambda t: {"doc": b"d" * 32, "i": 0, "content": t.encode(), "leaves": [b"l" * 32]})
+
+
+REFERENCES = " &#169; &#x2014; &#xD800; &#38;lt; &bogus; &#x; &#1114112; &unfinished"
+
+
+@register("fn1_character_references", f"SELECT page_id, {plain_sql('html')} || ' © — &#xD800; &lt; &bogus; &#x; &#1114112; &unfinished' AS v FROM pages")
+def fn1_references(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(scalar.collapse_trim(scalar.decode_entities("html")), scalar.decode_entities(F.lit(REFERENCES))).alias("v"))
+
+
+@register(
+    "lay16_columns",
+    """WITH RECURSIVE b AS (SELECT conv_id, list(CAST(length(text) * 100 AS BIGINT) ORDER BY turn) AS h FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, h, 1 AS k, 1 AS no, CAST(0 AS BIGINT) AS y, 0 AS done FROM b
+      UNION ALL SELECT conv_id, h, k + 1, CASE WHEN y > 0 AND y + 3000 + h[k] > 90000 THEN no + 1 ELSE no END, CASE WHEN y = 0 THEN h[k] WHEN y + 3000 + h[k] > 90000 THEN h[k] ELSE y + 3000 + h[k] END, k FROM p WHERE k <= len(h))
+    SELECT conv_id, CAST(done - 1 AS INT) AS pos, CAST((no - 1) // 2 + 1 AS INT) AS page, CAST((no - 1) % 2 AS INT) AS col FROM p WHERE done > 0""",
+)
+def lay16(spark, sf_dir):
+    h = (F.char_length("text") * 100).cast("bigint")
+    b = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", h.alias("h")))).alias("b"))
+    blocks = F.transform("b", lambda x: F.struct(x["h"].alias("h"), F.lit(3000).cast("bigint").alias("gap"), F.lit(False).alias("force")))
+    return b.select("conv_id", F.posexplode(layout.flow_columns(blocks, 90000, 2)).alias("pos", "at")).select("conv_id", "pos", "at.page", F.col("at.column").alias("col"))
+
+
+@register(
+    "lay14_keep_and_force",
+    """WITH RECURSIVE b AS (SELECT conv_id, list({'h': CAST(length(text) * 100 AS BIGINT), 'f': role = 'system', 'k': turn % 3 = 0, 'b': 2000 + 1000 * (turn % 3), 'a': 3000 - 500 * (turn % 4)} ORDER BY turn) AS x FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, x, 0 AS k, 1 AS no, CAST(0 AS BIGINT) AS y, true AS top, CAST(0 AS BIGINT) AS aft, CAST(NULL AS INT) AS page FROM b
+      UNION ALL SELECT conv_id, x, k + 1, CASE WHEN new THEN no + 1 ELSE no END,
+        CASE WHEN f THEN CASE WHEN new THEN 0 ELSE y END WHEN new THEN h ELSE y + gap + h END, f AND (new OR top), CASE WHEN f THEN aft ELSE a END, CASE WHEN f THEN NULL WHEN new THEN no + 1 ELSE no END
+      FROM (SELECT *, NOT top AND (f OR y + gap + h + CASE WHEN kp THEN 5000 ELSE 0 END > 60000) AS new FROM (
+        SELECT *, CASE WHEN top THEN 0 ELSE greatest(aft, x[k + 1].b) END AS gap, x[k + 1].h AS h, x[k + 1].f AS f, x[k + 1].k AS kp, x[k + 1].a AS a FROM p WHERE k < len(x))))
+    SELECT conv_id, CAST(k - 1 AS INT) AS pos, CAST(page AS INT) AS page FROM p WHERE k > 0""",
+)
+def lay14_keep(spark, sf_dir):
+    """System turns force a page, every third block keeps with the next, spaces before and after differ."""
+    turn = F.col("turn").cast("bigint")
+    block = F.struct("turn", (F.char_length("text") * 100).cast("bigint").alias("h"), (2000 + 1000 * (turn % 3)).alias("before"), (3000 - 500 * (turn % 4)).alias("after"), (F.col("role") == "system").alias("force"), (turn % 3 == 0).alias("keep"))
+    b = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    return b.select("conv_id", F.posexplode(layout.place_blocks(F.col("b"), 60000, 5000)).alias("pos", "page"))
+
+
+@register(
+    "trv1_nested_extract",
+    f"""WITH t AS (SELECT conv_id, turn, role, {plain_sql('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT conv_id AS doc_id, 'Talk ' || conv_id || chr(10) || chr(10) || string_agg(n || '. ' || t, chr(10) ORDER BY n) || chr(10) || chr(10)
+      || string_agg('- ' || role, chr(10) ORDER BY n) || chr(10) || chr(10) || 'no' || chr(9) || 'who' || chr(10) || string_agg(turn || chr(9) || role, chr(10) ORDER BY n) || chr(10) || chr(10) || '[pic]' || chr(10) AS text FROM t GROUP BY conv_id""",
+)
+def trv1_nested(spark, sf_dir):
+    """Conversations as pages of a heading, a numbered list in a section, bullets, a table and a figure; read back as text."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", scalar.html_escape(F.col("text")).alias("t"))
+    turn = F.col("turn").cast("string")
+    listed = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("<li><p>"), "t", F.lit("</p></li>")).alias("a"), F.concat(F.lit("<li>"), "role").alias("b"), F.concat(F.lit("<tr><td>"), turn, F.lit("<td>"), "role").alias("c"))))
+    by = t.groupBy("conv_id").agg(listed.alias("x"))
+    part = lambda k: F.array_join(F.transform("x", lambda r: r[k]), "\n")
+    page = F.concat(F.lit("<h1>Talk "), F.col("conv_id").cast("string"), F.lit("</h1><section><ol>"), part("a"), F.lit("</ol></section><ul>"), part("b"), F.lit("</ul><table><tr><th>no<th>who</tr>"), part("c"), F.lit("</table><figure><img src=x alt=pic></figure>"))
+    return tree.extract_trees(corpus.ingest(by.select(F.col("conv_id").alias("doc_id"), page.alias("text")), "html"))
