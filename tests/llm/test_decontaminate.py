@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -84,3 +87,57 @@ def test_question_and_answer_columns(spark):
     only = "what is the tall blue tower made of today asked someone"
     df = spark.createDataFrame([(1, only), (2, only + " plain grey stone and glass panes")], "doc_id bigint, text string")
     assert [r.doc_id for r in dc.contaminated(df, items, retrieve=0.4).collect()] == [2]
+
+
+def plain(docs, items, retrieve=0.65, overlap=0.8, k=5):
+    """The operator's definition without an index: (doc, item) -> (score, question, answer) by every passage against every item."""
+    word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    parts = {}
+    for i, t in items:
+        sentences = re.split(r"(?<=[.!?])\s+", (t or "").strip())
+        q, a = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (t or "", "")
+        if word(q) or word(a):
+            parts[i] = (word(q), word(a))
+    n, mean = len(parts), sum(len(q + a) for q, a in parts.values()) / max(1, len(parts))
+    df = Counter(w for q, a in parts.values() for w in set(q + a))
+    weight = {}
+    for i, (q, a) in parts.items():
+        tf = Counter(q + a)
+        weight[i] = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(q + a) / mean)) for w, c in tf.items()}
+    chunk = max([64, *(len(q + a) for q, a in parts.values())])
+    out = {}
+    for d, t in docs:
+        words = word(t)
+        chunks = -(-len(words) // chunk)
+        for j in range(max(chunks - 1, min(chunks, 1))):
+            span = words[j * chunk : (j + 2) * chunk]
+            have, held = set(span), {tuple(span[i : i + k]) for i in range(max(1, len(span) - k + 1))}
+
+            def covered(part, span=span, held=held):
+                own = grams(part)
+                if not own:
+                    return 1.0
+                if len(part) < k:
+                    return float(any(span[i : i + len(part)] == part for i in range(len(span))))
+                return len(own & held) / len(own)
+
+            for i, own in weight.items():
+                score = sum(x for w, x in own.items() if w in have) / sum(own.values())
+                if score >= retrieve - 1e-9:
+                    got = (score, *map(covered, parts[i]))
+                    if got[1] >= overlap and got[2] >= overlap:
+                        out[d, i] = tuple(max(a, b) for a, b in zip(out.get((d, i), (0, 0, 0)), got, strict=True))
+    return out
+
+
+@pytest.mark.parametrize("retrieve", [0.65, 0.3])
+def test_whole_tables_against_a_plain_version(spark, retrieve):
+    path = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 400"), spark.read.parquet(f"{path}/benchmark.parquet")
+    want = plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()], retrieve)
+    got = {(r.doc_id, r.item_id): r[2:] for r in dc.contaminated(docs, dc.item_rows(bench), retrieve=retrieve).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[x] == pytest.approx(want[x]) for x in want)
+    sharded = {(r.doc_id, r.item_id): r[2:] for r in dc.contaminated(docs, dc.item_rows(bench), retrieve=retrieve, max_items=6).collect()}
+    assert sharded.keys() == want.keys()  # several indexes in one scan

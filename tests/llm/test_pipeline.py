@@ -1,12 +1,16 @@
 import pathlib
 import random
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from docledger.llm import sharding, toxicity
+from docledger.llm import mixing, sharding, toxicity
+from docledger.llm.registry import CATEGORIES, category_labels
 
 from llm_data import DOCS, prose
+from test_decontaminate import plain
+from test_simhash import similar_pairs
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +74,38 @@ def test_nothing_else_imports_the_subpackage():
     for f in (root / "docledger").rglob("*.py"):
         if "llm" not in f.parts:
             assert "docledger.llm" not in f.read_text() and "import llm" not in f.read_text()
+
+
+def test_run_against_a_plain_version(spark, tables, tmp_path):
+    """All stages by other means: scores row by row, all pairs of texts, every item, and SQL for mix and shards."""
+    path, *_ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    models = toxicity.train(docs, category_labels(spark.read.parquet(f"{path}/labels.parquet")), CATEGORIES)
+    scorer = toxicity.Scorer(models)
+    rows = [tuple(r) for r in docs.collect() if scorer.score((r.text or "").encode())[-1] < toxicity.THRESHOLD]
+    named = [r for r in rows if r[0] is not None]
+    texts = [r[1] or "" for r in named]
+    root = list(range(len(named)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    pairs = similar_pairs(texts) + [(i, first[t]) for i, t in enumerate(texts) if first.setdefault(t, i) != i]
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)), key=lambda x: named[x][0])
+        root[b] = a
+    rows = [r for i, r in enumerate(named) if find(i) == i] + [r for r in rows if r[0] is None]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in plain([(r[0], r[1]) for r in rows], items)}
+    rows = [r for r in rows if r[0] not in leaked]
+    con = duckdb.connect()
+    kept = str(tmp_path / "kept.parquet")
+    spark.createDataFrame(rows, docs.schema).coalesce(1).write.parquet(kept)
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{kept}/*.parquet'")
+    con.execute(f"CREATE TABLE mix AS SELECT doc_id, text, lang, source, n_chars FROM ({mixing.ORACLE})")
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM mix")
+    want = sorted(map(str, con.execute(sharding.ORACLE).fetchall()))
+    assert want == sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, path).collect())
