@@ -2,7 +2,9 @@
 
 The ratio compares two multinomials over hashed word unigrams and bigrams: the trusted
 target (documents labelled good) and the raw corpus, both counted over all documents. A
-document's score is its mean log ratio per n-gram; the threshold decides, with no draw.
+document's score is its mean log ratio per n-gram; the threshold decides, with no draw. Each
+occurrence is left out of the counts it is judged by (of the raw ones, and of the target's where its document
+is labelled), so no document, labelled or not, vouches for itself.
 
 Counts are partial sums per bucket before the shuffle, so neither a hot source nor a frequent
 n-gram gathers rows. The weights are one array of ``buckets`` numbers whatever the data.
@@ -20,12 +22,11 @@ from pyspark.sql import functions as F
 
 from docledger.plans.storage import materialize
 
-#: Few, so that a document's own n-grams weigh little in any bucket, labelled or not.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
 #: Pseudo-count for each bucket.
 SMOOTHING = 1.0
 #: Mean log ratio per n-gram below which a document is not kept.
-THRESHOLD = -0.08
+THRESHOLD = -0.1
 #: Labelled ids up to this number may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SPACE = "\\x09-\\x0D\\x20"
@@ -68,10 +69,13 @@ def repeated_words(name: str, width: int) -> Column:
     return F.when(F.size(F.array_distinct(name)) == F.size(name), F.lit(0).cast("bigint")).otherwise(_let(marked, found))
 
 
-def weights(docs: DataFrame, good: DataFrame, buckets: int, smoothing: float, id_col: str, text_col: str) -> DataFrame:
-    """One row ``w array<double>``: for each bucket the log ratio target against raw."""
-    ids = good.select(F.col("doc_id").cast("bigint").alias("good_id")).where("good_id is not null").distinct()
-    ids = materialize(ids, "quality-ids")
+def labelled_ids(good: DataFrame) -> DataFrame:
+    """Stored ``good_id``: the distinct labelled ids."""
+    return materialize(good.select(F.col("doc_id").cast("bigint").alias("good_id")).where("good_id is not null").distinct(), "quality-ids")
+
+
+def weights(docs: DataFrame, ids: DataFrame, buckets: int, smoothing: float, id_col: str, text_col: str) -> DataFrame:
+    """One row ``(as_raw array<double>, as_own array<double>)``: by bucket the log ratio target against raw, an occurrence of an unlabelled and of a labelled document left out."""
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("good_id"), "left")
@@ -81,17 +85,18 @@ def weights(docs: DataFrame, good: DataFrame, buckets: int, smoothing: float, id
     counts = grams.groupBy(F.pmod("g", F.lit(buckets)).alias("b")).agg(F.count("*").alias("raw"), F.count("doc_id").alias("good"))
     full = grams.sparkSession.range(buckets).join(materialize(counts, "quality-counts"), F.col("id") == F.col("b"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     rows = F.array_sort(F.collect_list(F.struct("id", "raw", "good")))
-    all_in = full.agg(rows.alias("t"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    ratio = lambda x: F.log((x["good"] + smoothing) / (F.col("good") + smoothing * buckets)) - F.log((x["raw"] + smoothing) / (F.col("raw") + smoothing * buckets))
-    none = F.transform("t", lambda x: F.lit(0.0))
-    return all_in.select(F.when(F.col("good") == 0, none).otherwise(F.transform("t", ratio)).alias("w"))
+    all_in = full.agg(rows.alias("t"), F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
+    share = lambda n, total: F.log((F.greatest(n, F.lit(0)) + smoothing) / (F.col(total) + smoothing * buckets))
+    ratio = lambda left: F.when(F.col("all_good") == 0, F.transform("t", lambda x: F.lit(0.0))).otherwise(F.transform("t", lambda x: share(x["good"] - left, "all_good") - share(x["raw"] - 1, "all_raw")))
+    return all_in.select(ratio(0).alias("as_raw"), ratio(1).alias("as_own"))
 
 
 def verdicts(docs: DataFrame, good: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr)``."""
-    # a literal, folded once per plan: lambdas take no subquery, and its size is `buckets`
-    w = weights(docs, good, buckets, smoothing, id_col, text_col).select(F.array_join(F.transform("w", lambda x: x.cast("string")), ",")).first()[0]
-    table = F.split(F.lit(w), ",").cast("array<double>")
+    ids = labelled_ids(good)
+    # literals, folded once per plan: lambdas take no subquery, and their size is `buckets`
+    w = weights(docs, ids, buckets, smoothing, id_col, text_col).select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("as_raw", "as_own")]).first()
+    raw, own = (F.split(F.lit(x), ",").cast("array<double>") for x in w)
     rows = with_hashes(with_words(docs, id_col, text_col))
     n = F.size("words").cast("bigint")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
@@ -109,11 +114,11 @@ def verdicts(docs: DataFrame, good: DataFrame, threshold: float = THRESHOLD, buc
     def total(ws):
         return F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(ws, F.pmod(g, F.lit(buckets)).cast("int")))
 
-    rows = rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        repeated_words("h8", 8).alias("n_repeat_words"),
-        F.when(F.col("n_words") > 0, total(table) / F.size("grams")).alias("llr"),
-    )
+    mean = lambda table: F.when(F.col("n_words") > 0, total(table) / F.size("grams"))
+    rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words("h8", 8).alias("n_repeat_words"), mean(raw).alias("as_raw"), mean(own).alias("as_own"))
+    # joined by the numbers alone: no text is shuffled, however many labels there are
+    rows = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("good_id"), "left")
+    rows = rows.withColumn("llr", F.when(F.col("good_id").isNull(), F.col("as_raw")).otherwise(F.col("as_own")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))

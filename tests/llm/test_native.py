@@ -41,8 +41,6 @@ def test_quality_ratio_against_a_plain_version(spark):
     rows = [(i, " ".join(f"good{(i + k) % 9}" for k in range(30))) for i in range(8)] + [(8 + i, " ".join(f"bad{(i * k) % 7}" for k in range(30))) for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     out = {r.doc_id: r for r in quality.verdicts(df, df.where("doc_id < 8"), buckets=97).collect()}
-    from pyspark.sql import functions as F
-
     h = {r[0]: (r[1], r[2]) for r in quality.with_hashes(quality.with_words(df, "doc_id", "text")).select("doc_id", "h", "h2").collect()}
     raw, good = collections.Counter(), collections.Counter()
     for d, (a, b) in h.items():
@@ -51,11 +49,11 @@ def test_quality_ratio_against_a_plain_version(spark):
         if d < 8:
             good.update(own)
     for d, (a, b) in h.items():
-        want = sum(math.log((good[x % 97] + 1) / (sum(good.values()) + 97)) - math.log((raw[x % 97] + 1) / (sum(raw.values()) + 97)) for x in a + b) / len(a + b)
+        left = int(d < 8)  # an occurrence does not count for itself
+        want = sum(math.log((good[x % 97] - left + 1) / (sum(good.values()) + 97)) - math.log((raw[x % 97]) / (sum(raw.values()) + 97)) for x in a + b) / len(a + b)
         assert out[d].llr == pytest.approx(want)
-    assert all(out[i].kept == (not out[i].base_failed) for i in range(8))
-    assert not any(out[i].kept for i in range(8, 12))
-    assert F is not None
+        assert out[d].kept == (not out[d].base_failed and out[d].llr >= quality.THRESHOLD)
+    assert min(out[i].llr for i in range(8)) > max(out[i].llr for i in range(8, 12))
 
 
 def test_quality_defined_cases(none, odd, docs):
@@ -165,3 +163,27 @@ def test_mix_is_in_order_over_all_partitions(spark, docs):
     parts = out.selectExpr("spark_partition_id() as p", "mix_key as k").collect()
     assert len({r.p for r in parts}) > 20
     assert [r.k for r in parts] == sorted(r.k for r in parts)
+
+
+def test_quality_judges_labelled_and_unlabelled_alike(spark):
+    """On the tables: nearly all good documents stay, most bad ones go, and a label does not help its own document."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    good, bad = labels.where("quality = 1"), labels.where("quality = 0").select("doc_id")
+    half, other = good.where("doc_id % 2 = 0"), good.where("doc_id % 2 = 1").select("doc_id")
+    kept = {r.doc_id: r.kept for r in quality.verdicts(docs, half).collect() if not r.base_failed}
+
+    def share(of):
+        got = [kept[r.doc_id] for r in of.collect() if r.doc_id in kept]
+        return sum(got) / len(got)
+
+    told, untold = share(half), share(other)
+    assert told > 0.97 and untold > 0.97 and abs(told - untold) < 0.02
+    assert share(bad) < 0.4
+
+
+def test_quality_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    good = spark.createDataFrame([(i,) for i in range(20)], "doc_id bigint")
+    want = sorted(map(str, quality.verdicts(docs, good).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert sorted(map(str, quality.verdicts(docs, good).collect())) == want
