@@ -16,7 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", str(root / "warehouse")).config("spark.checkpoint.dir", str(root / "shared"))
-        .config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.ui.retainedExecutions", "5").config("spark.ui.retainedJobs", "50").config("spark.ui.retainedStages", "50")
+        .config("spark.sql.maxPlanStringLength", "10000").config("spark.driver.memory", "8g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
