@@ -94,8 +94,8 @@ def weights(docs: DataFrame, ids: DataFrame, buckets: int, smoothing: float, id_
 def verdicts(docs: DataFrame, good: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr)``."""
     ids = labelled_ids(good)
-    # literals, folded once per plan: lambdas take no subquery, and their size is `buckets`
-    w = weights(docs, ids, buckets, smoothing, id_col, text_col).select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("as_raw", "as_own")]).first()
+    # literals of seven places, folded once per plan: lambdas take no subquery, and their size is `buckets`
+    w = weights(docs, ids, buckets, smoothing, id_col, text_col).select(*[F.array_join(F.transform(c, lambda x: F.format_string("%.7f", x)), ",") for c in ("as_raw", "as_own")]).first()
     raw, own = (F.split(F.lit(x), ",").cast("array<double>") for x in w)
     rows = with_hashes(with_words(docs, id_col, text_col))
     n = F.size("words").cast("bigint")
