@@ -94,27 +94,42 @@ def round_even(x: Column) -> Column:
     return F.rint(x) + F.lit(0.0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value's expression standing once in the plan, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number_text(x: Column) -> Column:
     """Whole numbers below 1e15 without a point, others with all their shortest digits and never an exponent.
 
     A JVM may print more digits than needed, so forms of 1, 15 and 16 digits that read back as the number come first.
     """
-    whole = (F.abs(x) < 1e15) & (x == F.floor(x))
-    tried = [F.format_string(f"%.{n}e", x) for n in (0, 14, 15)]
-    shown = F.coalesce(*[F.when(t.cast("double") == x, t) for t in tried], x.cast("string"))
-    parts = F.regexp_extract(shown, "^-?([0-9.]+)(?:[eE]([-+]?[0-9]+))?$", 1), F.regexp_extract(shown, "[eE]([-+]?[0-9]+)$", 1)
-    point = F.when(F.contains(parts[0], F.lit(".")), F.instr(parts[0], ".") - 1).otherwise(F.length(parts[0])) + F.coalesce(F.when(parts[1] != "", parts[1]).cast("int"), F.lit(0))
-    raw = F.replace(parts[0], F.lit("."), F.lit(""))
-    # leading zeros move the point
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, "^0+", ""))
-    digits, at = F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", ""), point - lead
-    n = F.length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits)
-    large = F.concat(digits, F.repeat(F.lit("0"), at - n))
-    mixed = F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, n))
-    plain = F.concat(F.when(x < 0, "-").otherwise(""), F.when(at <= 0, small).when(at >= n, large).otherwise(mixed))
-    odd = F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), odd).when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(plain)
+
+    def shortest(v):
+        return F.coalesce(*[F.when(F.format_string(f"%.{n}e", v).try_cast("double") == v, F.format_string(f"%.{n}e", v)) for n in (0, 14, 15)], v.cast("string"))
+
+    def parts(shown):
+        front, power = F.regexp_extract(shown, "^-?([0-9.]+)", 1), F.regexp_extract(shown, "[eE]([-+]?[0-9]+)$", 1)
+        return F.struct(front.alias("front"), F.coalesce(F.when(power != "", power).cast("int"), F.lit(0)).alias("power"))
+
+    def digits(p):
+        raw = F.replace(p["front"], F.lit("."), F.lit(""))
+        point = F.length(F.substring_index(p["front"], ".", 1)) + p["power"]
+        bare = F.regexp_replace(raw, "^0+", "")  # leading zeros move the point
+        return F.struct(F.regexp_replace(bare, "0+$", "").alias("d"), (point - F.length(raw) + F.length(bare)).alias("at"))
+
+    def spelled(s):
+        d, at, n = s["d"], s["at"], F.length(s["d"])
+        mixed = F.concat(F.substring(d, F.lit(1), at), F.lit("."), F.substring(d, at + 1, n))
+        return F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), d)).when(at >= n, F.concat(d, F.repeat(F.lit("0"), at - n))).otherwise(mixed)
+
+    def text(v):
+        odd = F.when(F.isnan(v), "NaN").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+        whole = (F.abs(v) < 1e15) & (v == F.floor(v))
+        plain = F.concat(F.when(v < 0, "-").otherwise(""), _let(_let(_let(shortest(v), parts), digits), spelled))
+        return F.when(F.isnan(v) | (F.abs(v) == float("inf")), odd).when(whole, F.when(whole, v).cast("bigint").cast("string")).otherwise(plain)
+
+    return _let(x, text)
 
 
 def to_text(c: Cell) -> Column:
