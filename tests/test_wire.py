@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from docledger.functions import wire
 from docledger.functions.codecs import CodecError, encode
 from docledger.operators import layout
+from docledger.sinks import container
 from docledger.sources import authoring, html
 
 
@@ -22,6 +23,14 @@ def test_strictness(v):
         wire.decode_document(encode({"t": "doc", "lang": "en", "dir": "ltr", "children": [v]}))
 
 
+@pytest.mark.parametrize("objects", [[b"text " * 50], [b"x"], []])
+def test_every_changed_bit_of_a_container_is_noticed(objects):
+    data = container.write(encode({"version": [1, 0]}), {container.digest(x): x for x in objects})
+    assert not isinstance(container.read_many([data])[0], container.BadContainer)
+    changed = [data[:i] + bytes([data[i] ^ x]) + data[i + 1 :] for i in range(len(data)) for x in (1, 2, 4, 8, 16, 32, 64, 128, 255)]
+    assert [k for k, got in enumerate(container.read_many(changed)) if not isinstance(got, container.BadContainer)] == []
+
+
 def test_layers_signatures_bundles():
     assert wire.decode_layer(wire.encode_layer({"a": 4, "b": "x", "c": True, "d": None})) == {"a": 4.0, "b": "x", "c": True}
     with pytest.raises(CodecError):
