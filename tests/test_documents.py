@@ -24,6 +24,12 @@ def test_html():
     assert got[8]["alt"] == "pic"
 
 
+def test_html_references_end_in_a_semicolon():
+    got = html.parse('<h1>a&&amp</h1><p>&copy2 &copy; &amp;lt; &#65 &#65; &#x42; &#128; &eacute; &notanentity; &ampx; AT&T&lt<a href="/?a=1&copy=2&amp;b">l</a>\ufdd0</p><pre>&amp &amp;</pre>')
+    assert [inline_text(b["inlines"]) if "inlines" in b else b["text"] for b in got] == ["a&&amp", "&copy2 © &lt; &#65 A B € é &notanentity; &ampx; AT&T&ltl\ufdd0", "&amp &"]
+    assert [x["href"] for x in got[1]["inlines"] if isinstance(x, dict)] == ["/?a=1&copy=2&b"]
+
+
 def test_markdown():
     text = "# Title\n\nA *b* **c** `d` [e](/f)\nnext\n\n> quoted\n\n- x\n- y\n  more\n\n1. one\n2. two\n\n```py\ncode\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n---\n<div>raw</div>\n\nUnder\n-----\n"
     got = markdown.parse(text)
