@@ -390,35 +390,46 @@ def red2(spark, sf_dir):
 def enc6(spark, sf_dir):
     """A document's manifest, metadata, resources, cache, index, provenance and page, to bytes and back; some of them broken."""
 
-    def verdict(t):
-        k, text = int(t[0]), t[1:]
-        ids = [codecs.blake3_many([text.encode(), b"x"])[i] for i in range(2)]
-        chain = [{"kind": "created", "claims": {"by": text[:9]}, "manifest": ids[1]}]
-        records = {
-            "manifest": {"version": [1, 0], "root": ids[0], "profile": "base", "metadata": ids[1]}, "metadata": {"title": text[:40], "authors": ["a", "b"], "custom": {"k": text[:5]}},
-            "resources": {"items": [{"id": ids[0], "mime": "image/png"}]}, "blob": {"mime": "text/plain", "data": text.encode()}, "render_cache": {"engine": "1.4", "pages": ids, "hash": ids[0]},
-            "page_index": {"pages": [ids, []]}, "provenance": {"chain": chain},
-            "page": {"width": 210000, "height": 297000, "ops": [{"op": "text", "x": 1, "y": 2, "size": 11, "text": text[:30]}, {"op": "image", "x": 0, "y": 0, "w": 5, "h": 5, "res": ids[1]}]},
-        }
-        for kind, v in records.items():
-            try:
-                raw = wire.encode_record(kind, v)
-                if k == 1:
-                    raw = codecs.encode({**v, "more": 1})
-                elif k == 2 and kind == "manifest":
-                    raw = codecs.encode({x: y for x, y in v.items() if x != "root"})
-                elif k == 3 and kind == "page":
-                    raw = codecs.encode({**v, "ops": [{"op": "text", "x": -1, "y": 2, "size": 11, "text": ""}]})
-                elif k == 4:
-                    raw += b"\0"
-                if wire.encode_record(kind, wire.decode_record(kind, raw)) != raw:
-                    return "other bytes"
-            except codecs.CodecError as e:
-                return next((x for x in ("unknown keys", "lacks", "bad") if x in str(e)), "bytes")
-        return "same"
-
-    d = docs_of(spark, sf_dir).select("doc_id", F.concat((F.col("doc_id") % 6).cast("string"), "text").alias("text"))
-    return mapped(d, "doc_id", "text", verdict).select("doc_id", F.col("v").alias("verdict"))
+    def run(batches):
+        for b in batches:
+            for part in codecs.slices(b):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(record_verdicts(part.column(1).to_pylist()), pa.string())], names=["doc_id", "verdict"])
+
+    d = docs_of(spark, sf_dir).select("doc_id", F.concat((F.col("doc_id") % 6).cast("string"), F.coalesce("text", F.lit(""))).alias("text"))
+    return d.mapInArrow(run, "doc_id bigint, verdict string")
+
+
+def record_verdicts(texts):
+    """What becomes of the records of each text, which begins with 0 to 5; ids of all texts are computed together."""
+    texts = [t or "" for t in texts]
+    *own, x = codecs.blake3_many([*(t[1:].encode() for t in texts), b"x"])
+    return [record_verdict(int(t[0]), t[1:], [i, x]) for t, i in zip(texts, own, strict=True)]
+
+
+def record_verdict(k, text, ids):
+    chain = [{"kind": "created", "claims": {"by": text[:9]}, "manifest": ids[1]}]
+    records = {
+        "manifest": {"version": [1, 0], "root": ids[0], "profile": "base", "metadata": ids[1]}, "metadata": {"title": text[:40], "authors": ["a", "b"], "custom": {"k": text[:5]}},
+        "resources": {"items": [{"id": ids[0], "mime": "image/png"}]}, "blob": {"mime": "text/plain", "data": text.encode()}, "render_cache": {"engine": "1.4", "pages": ids, "hash": ids[0]},
+        "page_index": {"pages": [ids, []]}, "provenance": {"chain": chain},
+        "page": {"width": 210000, "height": 297000, "ops": [{"op": "text", "x": 1, "y": 2, "size": 11, "text": text[:30]}, {"op": "image", "x": 0, "y": 0, "w": 5, "h": 5, "res": ids[1]}]},
+    }
+    for kind, v in records.items():
+        try:
+            raw = wire.encode_record(kind, v)
+            if k == 1:
+                raw = codecs.encode({**v, "more": 1})
+            elif k == 2 and kind == "manifest":
+                raw = codecs.encode({x: y for x, y in v.items() if x != "root"})
+            elif k == 3 and kind == "page":
+                raw = codecs.encode({**v, "ops": [{"op": "text", "x": -1, "y": 2, "size": 11, "text": ""}]})
+            elif k == 4:
+                raw += b"\0"
+            if wire.encode_record(kind, wire.decode_record(kind, raw)) != raw:
+                return "other bytes"
+        except codecs.CodecError as e:
+            return next((x for x in ("unknown keys", "lacks", "bad") if x in str(e)), "bytes")
+    return "same"
 
 
 def stage_folder(spark, what):

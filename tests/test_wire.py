@@ -73,3 +73,27 @@ def test_ed25519_published_values():
 def test_justify(spark):
     r = spark.range(1).select(layout.justify(F.lit("a bb  c"), 10).alias("x"), layout.justify(F.lit("word"), 10).alias("y"), layout.justify(F.lit("too long line"), 5).alias("z")).first()
     assert tuple(r) == ("a   bb   c", "word", "too long line")
+
+
+def test_records_of_many_documents_are_hashed_together(monkeypatch):
+    from docledger import queryset3
+    from docledger.functions import codecs
+
+    calls, plain = [], codecs.blake3_many
+    monkeypatch.setattr(codecs, "blake3_many", lambda x: calls.append(len(x)) or plain(x))
+    texts = [f"{i % 6}text {i} ä" for i in range(50)] + ["0", "5" + "long " * 2000]
+    got = queryset3.record_verdicts(texts)
+    assert calls == [len(texts) + 1]
+    assert got == [{"1": "unknown keys", "2": "lacks", "3": "bad", "4": "bytes"}.get(t[0], "same") for t in texts]
+    assert queryset3.record_verdicts([]) == []
+
+
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from docledger.functions import codecs
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["x" * 1000] * 100)], names=["k", "v"])
+    parts = list(codecs.slices(b, 10_000))
+    assert len(parts) > 9 and [k for p in parts for k in p.column(0).to_pylist()] == list(range(100))
+    assert [p.num_rows for p in codecs.slices(b, 1)] == [1] * 100 and list(codecs.slices(b.slice(0, 0))) == []
