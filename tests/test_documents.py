@@ -94,6 +94,17 @@ def test_page_geometry(spark):
     assert geometry.recover(df).where("kind = 'h'").count() == 1
 
 
+def test_pages_are_recovered_many_a_batch(spark):
+    rows = [(d, 1, 50.0 + 5 * k, 700.0 - 14 * k, 10.0, f"line {k}") for d in range(3000) for k in (2, 0, 1)]
+    rows += [(None, None, 1.0, 9.0, 10.0, "b"), (None, None, 1.0, 10.0, 10.0, "a"), (None, None, None, None, 10.0, "c"), (9000, 1, 1.0, 1.0, 10.0, None), (9001, 1, 1.0, 1.0, 10.0, " ")]
+    got = geometry.recover(spark.createDataFrame(rows, "doc_id bigint, page_no int, x double, y double, size double, text string"))
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    texts = {}
+    for r in sorted(got.collect(), key=lambda r: r.ord):
+        texts.setdefault(r.doc_id, []).append((r.kind, r.text))
+    assert texts == {None: [("p", "a b c")]} | {d: [("p", "line 0 line 1 line 2")] for d in range(3000)}
+
+
 @pytest.mark.parametrize("n", range(1, 21))
 def test_consistency_proof_ranges(n):
     for m in range(1, n):
